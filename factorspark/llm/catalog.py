@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorspark.llm import chat, mixing, sharding, url_filter
-from factorspark.llm.common import table
+from factorspark.llm import chat, langid, mixing, sharding, simhash, toxicity, url_filter
+from factorspark.llm.common import held_out, table
 
 N_SHARDS = 24
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -37,8 +42,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, N_SHARDS).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_filter, op3_chat_format, op7_mixing, op8_sharding)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_chat_format, op7_mixing, op8_sharding, op9_toxicity, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
