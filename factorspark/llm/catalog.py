@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorspark.llm import chat, decontaminate, langid, mixing, sharding, simhash, toxicity, url_filter
+from factorspark.llm import chat, decontaminate, langid, mixing, sharding, simhash, substrings, toxicity, url_filter
 from factorspark.llm.common import held_out, table
 
 N_SHARDS = 24
@@ -31,6 +31,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns.unionByName(extra)))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.removed_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per contaminated doc_id."""
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -59,7 +64,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_chat_format, op5_decontaminate, op7_mixing, op8_sharding, op9_toxicity, op10_langid)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_chat_format, op4_substrings, op5_decontaminate, op7_mixing, op8_sharding, op9_toxicity, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
