@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorspark.llm import chat, decontaminate, langid, mixing, sharding, simhash, substrings, toxicity, url_filter
+from factorspark.llm import ann, chat, decontaminate, langid, mixing, sharding, simhash, substrings, toxicity, url_filter
 from factorspark.llm.common import held_out, table
 
 N_SHARDS = 24
@@ -42,6 +42,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.round(F.max("best"), 6).alias("best"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents"))
     rows = plan.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("n_rows"))))
@@ -64,7 +68,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_chat_format, op4_substrings, op5_decontaminate, op7_mixing, op8_sharding, op9_toxicity, op10_langid)}
+    return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_chat_format, op4_substrings, op5_decontaminate, op6_nearest, op7_mixing, op8_sharding, op9_toxicity, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
