@@ -10,7 +10,9 @@ are exactly the repeated strings. The digits:
    about one per 39 bytes.
 2. The context: all bytes that the run's windows cover, and the anchor's place in them. Runs of equal
    context are equal window by window, so all but the first are repeated from end to end.
-3. The window's full depth, only for first runs whose anchor has several contexts.
+3. The window's full depth, only for first runs whose anchor has several contexts. Their contexts
+   (some 140 bytes each) are sent by anchor and their windows sorted there; of an anchor with more
+   than ``HOT`` of them the windows themselves are sent, dealt by their own hash.
 
 Before a shuffle every task settles its own repeats: of equal runs it hands on the first, and an
 anchor with several contexts in one task goes straight to the third digit, with one marker row to
@@ -26,12 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import cut
+from factorspark.llm.common import kept_table
 
 WIDTH, GRAM = 100, 24
+#: Contexts of one anchor that a task may hold at a time.
+HOT = 8000
 #: A task settles repeats among about so many runs at a time.
 BATCH = 1_500_000
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -220,36 +225,65 @@ def _second_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from done()
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Third digit: (a, w, doc, at) of every window of the runs that need it; repeats in a task settled."""
-    held, size = [], 0
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes: they cross a shuffle."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        z = [pack.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(1)]
+        doc = [_FAR if d is None else d for d in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(doc, pa.int64()), pa.array(z, pa.binary())], names=["doc_id", "doc", "z"])
+
+
+def _release(z: pa.Scalar, unpack: zstandard.ZstdDecompressor) -> bytes:
+    return unpack.decompress(z.as_py())
+
+
+_DEEP_SCHEMA = "a long, w long, doc long, at long, ctx binary"
+_DEEP = ["a", "w", "doc", "at", "ctx"]
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, w, doc, at, ctx) of the runs that need the third digit: the context, or for hot anchors one
+    row a window with its hash; of equal windows of a hot anchor a task sends on the first and the
+    others as known repeats (a null)."""
+    unpack, held, size = zstandard.ZstdDecompressor(), [], 0
 
     def settle() -> Iterator[pa.RecordBatch]:
         a, w, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((at, doc, w, a))
         a, w, doc, at = a[order], w[order], doc[order], at[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1])))
-        lead = np.flatnonzero(new)
-        of = lead[np.cumsum(new) - 1]
-        tie = (doc == doc[of]) & (at == at[of])
-        yield from _emit(1, a[~tie], w[~tie], doc[~tie], at[~tie])
-        yield from _emit(0, a[lead], w[lead], doc[lead], at[lead])
+        of = np.flatnonzero(new)[np.cumsum(new) - 1]
+        known = (doc != doc[of]) | (at != at[of])
+        send = new | known
+        for k in range(0, int(send.sum()), _OUT):
+            i = np.flatnonzero(send)[k : k + _OUT]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a[i], pa.int64(), mask=known[i]), pa.array(w[i]), pa.array(doc[i]), pa.array(at[i]), pa.nulls(len(i), pa.binary())], names=_DEEP)
 
     for b in batches:
-        for doc, text, anchors, spots in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
-            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for doc, z, anchors, spots, hot in zip(b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4), b.column(5), strict=True):
+            raw = _release(z, unpack)
             row = _row_bits(raw)
-            at, a = np.asarray(spots.values), np.asarray(anchors.values)
+            at, a, h = np.asarray(spots.values), np.asarray(anchors.values), hot.values.to_numpy(zero_copy_only=False)
             mine = (at >> 40) == row
-            at, a = at[mine], a[mine]
-            if not len(at):
-                continue
+            at, a, h = at[mine], a[mine], h[mine]
             start, count = (at >> 7) & ((1 << 33) - 1), at & 127
-            starts = np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-            w = _rolling(np.frombuffer(raw, np.uint8), WIDTH, _B)[starts].view(np.int64)
-            one = np.ones(len(starts), np.int64)
-            held.append((np.repeat(a, count), w, np.full(len(starts), _FAR if doc is None else doc, np.int64), _pack(row, starts, one)))
-            size += len(starts)
+            for aa, tt, s, c in zip(a[~h].tolist(), at[~h].tolist(), start[~h].tolist(), count[~h].tolist(), strict=True):
+                out[0].append(aa)
+                out[1].append(doc)
+                out[2].append(tt)
+                out[3].append(raw[s : s + c + WIDTH - 1])
+            if h.any():
+                start, count = start[h], count[h]
+                starts = np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+                w = _rolling(np.frombuffer(raw, np.uint8), WIDTH, _B)[starts].view(np.int64)
+                held.append((np.repeat(a[h], count), w, np.full(len(starts), doc, np.int64), _pack(row, starts, np.ones(len(starts), np.int64))))
+                size += len(starts)
+        if out[0]:
+            n = len(out[0])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(np.zeros(n, np.int64)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=_DEEP)
         if size >= BATCH:
             yield from settle()
             held, size = [], 0
@@ -257,20 +291,71 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle()
 
 
-def _not_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, at) of every row but the first of its (a, c); rows come sorted; kind 1 passes."""
-    key, lead = (None, None), (None, None)
+def _repeats(w: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which windows are not the first of their hash; ties with the first stay."""
+    order = np.lexsort((at, doc, w))
+    ws = w[order]
+    new = np.concatenate(([True], ws[1:] != ws[:-1]))
+    of = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    out = np.zeros(len(w), bool)
+    out[order] = (doc[order] != doc[of]) | (at[order] != at[of])
+    return out
+
+
+def _compare(doc: np.ndarray, at: np.ndarray, ctx: list[bytes]) -> pa.RecordBatch:
+    """Repeated windows of whole anchors' contexts, as runs; equal windows share their anchor."""
+    count = at & 127
+    size = np.fromiter(map(len, ctx), np.int64, len(ctx))
+    base = np.concatenate(([0], np.cumsum(size)[:-1]))
+    inside = np.arange(count.sum()) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)
+    w = _rolling(np.frombuffer(b"".join(ctx), np.uint8), WIDTH, _B)[np.repeat(base, count) + inside]
+    wdoc, start = np.repeat(doc, count), np.repeat((at >> 7) & ((1 << 33) - 1), count) + inside
+    row = np.repeat(at >> 40, count)
+    wat = (row << 40) | (start << 7) | 1
+    bad = np.flatnonzero(_repeats(w, wdoc, wat))
+    if not len(bad):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["doc", "at"])
+    of = np.repeat(np.arange(len(at)), count)[bad]
+    cut_ = np.flatnonzero(np.concatenate(([True], (np.diff(bad) != 1) | (np.diff(of) != 0))))
+    n = np.diff(np.concatenate((cut_, [len(bad)])))
+    first = bad[cut_]
+    return pa.RecordBatch.from_arrays([pa.array(wdoc[first]), pa.array((wat[first] & ~np.int64(127)) | n)], names=["doc", "at"])
+
+
+def _third_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, at) of repeated windows. Rows come sorted by (a, w, doc, at): contexts of an anchor
+    together, and each window of a hot one after its first."""
+    docs, ats, ctxs, last = [], [], [], None
+    key, lead = None, None
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if docs:
+            yield _compare(np.array(docs, np.int64), np.array(ats, np.int64), ctxs)
+            docs.clear()
+            ats.clear()
+            ctxs.clear()
+
     for b in batches:
-        kind, a, c, doc, at = (np.asarray(x) for x in b.columns)
-        through = kind == 1
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))
-        new[0] = (a[0], c[0]) != key
-        of = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
-        lead_doc = np.where(of >= 0, doc[of], lead[0] if lead[0] is not None else 0)
-        lead_at = np.where(of >= 0, at[of], lead[1] if lead[1] is not None else 0)
-        bad = through | (doc != lead_doc) | (at != lead_at)
-        key, lead = (a[-1], c[-1]), (lead_doc[-1], lead_at[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(doc[bad]), pa.array(at[bad])], names=["doc", "at"])
+        whole = np.asarray(b.column(4).is_valid())
+        a, w, doc, at = b.column(0), *(np.asarray(x) for x in b.columns[1:4])
+        known = ~np.asarray(a.is_valid())
+        a = np.asarray(a.fill_null(0))
+        for i in np.flatnonzero(whole).tolist():
+            if a[i] != last:
+                last = a[i]
+                if len(docs) >= 2 * HOT:
+                    yield from flush()
+            docs.append(int(doc[i]))
+            ats.append(int(at[i]))
+            ctxs.append(b.column(4)[i].as_py())
+        bad = known.copy()
+        for i in np.flatnonzero(~whole & ~known).tolist():
+            if (a[i], w[i]) != key:
+                key, lead = (a[i], w[i]), (doc[i], at[i])
+            bad[i] = (doc[i], at[i]) != lead
+        if bad.any():
+            yield pa.RecordBatch.from_arrays([pa.array(doc[bad]), pa.array(at[bad])], names=["doc", "at"])
+    yield from flush()
 
 
 def _merge(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -282,10 +367,11 @@ def _merge(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _carve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
     for b in batches:
         out = []
-        for doc, text, spots in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+        for doc, z, spots in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+            raw = _release(z, unpack)
             spans: list[tuple[int, int]] = []
             if spots.is_valid:
                 at = np.asarray(spots.values)
@@ -316,15 +402,19 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    key = F.coalesce("doc_id", F.lit(_FAR))
     # rows that only pass through are dealt by their place
     deal = F.when(F.col("kind").isin(1, 2), F.xxhash64("doc", "at")).otherwise(F.col("a"))
-    dealt = rows.mapInArrow(_first_digits, _RUN_SCHEMA).withColumn("deal", deal).repartition("deal").sortWithinPartitions("a", "c", "doc", "at")
-    second = cut(dealt.select(*_NAMES).mapInArrow(_second_digit, _RUN_SCHEMA))
-    wanted = second.filter("kind = 2").groupBy("doc").agg(F.collect_list("a").alias("as"), F.collect_list("at").alias("ats"))
-    todo = rows.withColumn("doc", key).join(wanted, "doc").select("doc", "text", "as", "ats")
-    deep = todo.mapInArrow(_windows, _RUN_SCHEMA).withColumn("deal", F.when(F.col("kind") == 1, F.xxhash64("doc", "at")).otherwise(F.xxhash64("a", "c")))
-    deep = deep.repartition("deal").sortWithinPartitions("a", "c", "doc", "at").select(*_NAMES).mapInArrow(_not_first, "doc long, at long")
+    dealt = rows.mapInArrow(_first_digits, _RUN_SCHEMA).repartition(deal).sortWithinPartitions("a", "c", "doc", "at")
+    second = kept_table(dealt.mapInArrow(_second_digit, _RUN_SCHEMA).select("kind", "a", "doc", "at"), "runs")
+    hot = second.filter("kind = 2").groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("a", F.lit(True).alias("hot"))
+    wanted = second.filter("kind = 2").join(hot, "a", "left").groupBy("doc").agg(
+        F.collect_list("a").alias("as"), F.collect_list("at").alias("ats"), F.collect_list(F.coalesce("hot", F.lit(False))).alias("hots"))
+    # both joins read the texts from one shuffle
+    texts = rows.mapInArrow(_squeeze, "doc_id long, doc long, z binary").repartition("doc")
+    todo = texts.join(wanted, "doc").select("doc_id", "doc", "z", "as", "ats", "hots")
+    deep = todo.mapInArrow(_contexts, _DEEP_SCHEMA)
+    spread = F.when(F.col("ctx").isNotNull(), F.col("a")).when(F.col("a").isNull(), F.xxhash64("doc", "at")).otherwise(F.xxhash64("a", "w"))
+    deep = deep.repartition(spread).sortWithinPartitions("a", "w", "doc", "at").mapInArrow(_third_digit, "doc long, at long")
     gone = second.filter("kind = 1").select("doc", "at").unionByName(deep).groupBy("doc").agg(F.collect_set("at").alias("ats"))
-    whole = rows.withColumn("doc", key).join(gone, "doc", "left").select("doc_id", "text", "ats")
+    whole = texts.join(gone, "doc", "left").select("doc_id", "doc", "z", "ats")
     return whole.mapInArrow(_carve, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
