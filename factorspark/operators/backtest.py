@@ -50,7 +50,7 @@ class BacktestResult:
 
 def _fold(pdf: pd.DataFrame, strategy: str, capital: float, model: CostModel, defer: bool, fractional: bool) -> pd.DataFrame:
     """The ledger of one strategy over its event rows (ord, date, ticker, is_rebal, weight, px, mark)."""
-    cash, held, waiting, since, out = capital, {}, {}, {}, []
+    cash, held, waiting, since, out = float(capital), {}, {}, {}, []
 
     def log(kind: str, day, ord_: int, **x) -> None:
         out.append({"strategy": strategy, "kind": kind, "date": day, "ord": ord_, **x})
@@ -109,7 +109,12 @@ def _fold(pdf: pd.DataFrame, strategy: str, capital: float, model: CostModel, de
     for t, w in waiting.items():
         log("skip", since[t][0], since[t][1], ticker=t, weight=w, reason=NEVER)
     cols = [c.split()[0] for c in _LOG.split(", ")]
-    return pd.DataFrame(out, columns=cols)
+    frame = pd.DataFrame(out, columns=cols)
+    for name in ("ticker", "reason"):  # a missing text is None, never NaN
+        frame[name] = [v if isinstance(v, str) else None for v in frame[name]]
+    for name in ("shares", "price", "notional", "commission", "slippage", "cost", "weight", "value"):
+        frame[name] = frame[name].astype(float)
+    return frame
 
 
 def run_backtest(

@@ -229,12 +229,13 @@ def forward_returns(bars: DataFrame, calendar: DataFrame, *, col: str = "adj_clo
 def factor_panel(factors: list[Factor], bars: DataFrame, calendar: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """(factor, date, ticker, value, fwd_ret) of all factors over a rebalance calendar.
 
-    Rows are the union of tickers with a value and tickers with a forward return, for the factor's
-    own dates.
+    Rows are the union of tickers with a value and tickers with a forward return, on the dates that
+    have members (without ``members``: all dates).
     """
     dates = calendar.select(F.col("date").alias("as_of"))
     values = reduce(DataFrame.unionByName, (f.panel(bars, dates, members) for f in factors))
     fwd = forward_returns(bars, calendar)
-    own = values.select("factor", "date").distinct()
-    wide = own.join(F.broadcast(fwd.select("date").distinct()), "date", "left_semi").join(fwd, "date")
+    if members is not None:
+        fwd = fwd.join(F.broadcast(members.select(F.col("as_of").alias("date")).distinct()), "date", "left_semi")
+    wide = fwd.withColumn("factor", F.explode(F.array(*(F.lit(f.name) for f in factors))))
     return values.join(wide, ["factor", "date", "ticker"], "full_outer").select("factor", "date", "ticker", "value", "fwd_ret")

@@ -55,7 +55,9 @@ class Market:
 
     @cached_property
     def bars(self) -> DataFrame:
-        return self._bars(self.trades)
+        """The daily bars. Every factor reads them several times, so they are kept (spilling to disk; a
+        lost part is computed again)."""
+        return self._bars(self.trades).persist()
 
     @cached_property
     def benchmark(self) -> DataFrame:
@@ -65,11 +67,11 @@ class Market:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return calendar.sessions(self.bars)
+        return calendar.sessions(self.bars).persist()
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return calendar.rebalance_calendar(self.sessions, "month_end")
+        return calendar.rebalance_calendar(self.sessions, "month_end").persist()
 
     @cached_property
     def quarter_members(self) -> DataFrame:
@@ -105,14 +107,17 @@ class Market:
     @cached_property
     def members(self) -> DataFrame:
         """(as_of, ticker) on the rebalance dates, rebuilt from constituents and change log."""
-        return membership.members_as_of(self.constituents, self.changes, self.calendar.select(F.col("date").alias("as_of")), fetched_at=self.FETCHED)
+        days = self.calendar.select(F.col("date").alias("as_of"))
+        return membership.members_as_of(self.constituents, self.changes, days, fetched_at=self.FETCHED).persist()
 
     def panel(self, *fs: factors.Factor) -> DataFrame:
-        return factors.factor_panel(list(fs) or [f() for f in factors.FACTORS], self.bars, self.calendar, self.members)
+        """The panel, kept: evaluation, risk and regimes all start from it, and it has one row per factor,
+        rebalance date and name however many trades there were."""
+        return factors.factor_panel(list(fs) or [f() for f in factors.FACTORS], self.bars, self.calendar, self.members).persist()
 
     @cached_property
     def ic(self) -> DataFrame:
-        return evaluation.information_coefficient(self.panel())
+        return evaluation.information_coefficient(self.panel()).persist()
 
     @cached_property
     def regime(self) -> DataFrame:
