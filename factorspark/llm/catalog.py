@@ -71,5 +71,29 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_chat_format, op4_substrings, op5_decontaminate, op6_nearest, op7_mixing, op8_sharding, op9_toxicity, op10_langid)}
 
 
+_OP3 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+r AS (
+  SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\' || chr(10))) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS n FROM t),
+c AS (
+  SELECT *, sum(tok) OVER w AS cum, first_value(CASE WHEN role = 'system' THEN tok ELSE 0 END) OVER w AS st, first_value(CASE WHEN role = 'system' THEN n ELSE 0 END) OVER w AS sn
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+d AS (SELECT *, floor((cum - 1) / greatest(1, floor((832 - st) / 2.0))) AS w FROM c),
+f AS (SELECT *, i > 1 AND lag(w) OVER (PARTITION BY conv_id ORDER BY i) <> w AS opens FROM d),
+h AS (
+  SELECT a.conv_id, sum(p.n) AS again FROM f a JOIN f p ON p.conv_id = a.conv_id AND p.i BETWEEN a.i - 4 AND a.i - 1
+  WHERE a.opens AND a.cum - a.tok - p.cum + p.tok <= 192 AND (a.st = 0 OR p.i > 1) GROUP BY 1),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '') AS loss, sum(n) + sum(CASE WHEN opens THEN sn ELSE 0 END) AS chars FROM f GROUP BY 1)
+SELECT g.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars + coalesce(again, 0) AS BIGINT) AS formatted_chars
+FROM g LEFT JOIN h USING (conv_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the same: fingerprints, draws, codes and trained models it can't."""
+    return {"op3_chat_format": _OP3}
