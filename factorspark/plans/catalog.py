@@ -417,9 +417,9 @@ def op_j16_benchmark_nav(m: Market) -> DataFrame:
 # Regimes and decay
 
 
-@query("SELECT date, round(vol, 6) AS vol, round(trend, 6) AS trend, round(med, 6) AS threshold FROM rg1")
+@query("SELECT date, round(vol, 6) AS vol, round(trend, 9) AS trend, round(med, 6) AS threshold FROM rg1")
 def op_w9_regime_inputs(m: Market) -> DataFrame:
-    return monitor.regime_inputs(m.benchmark, expanding=True).select("date", r("vol"), r("trend"), r("threshold"))
+    return monitor.regime_inputs(m.benchmark, expanding=True).select("date", r("vol"), r("trend", 9), r("threshold"))
 
 
 @query("SELECT date, regime FROM regime")
