@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorspark.functions.symbols import to_date
+from factorspark.lineage import cut
 from factorspark.operators.calendar import dense, forward_fill, sessions, snap_targets
 from factorspark.operators.costs import CostModel
 
@@ -135,10 +136,13 @@ def run_backtest(
         bars = bars.filter(F.col("date") >= F.lit(to_date(start)))
     if end is not None:
         bars = bars.filter(F.col("date") <= F.lit(to_date(end)))
-    days = sessions(bars)
+    # Events, fills and marks all start from targets, sessions and grid. The first two are small and are
+    # written out, which also keeps their plans from being copied into every join below; the grid is as
+    # large as the bars, so it is kept where it was computed.
+    days, targets = cut(sessions(bars)), cut(targets.select("strategy", "decision_date", "ticker", "weight"))
     names = targets.select("strategy", "ticker").distinct()
     used = bars.join(F.broadcast(names.select("ticker").distinct()), "ticker", "left_semi")
-    grid = dense(used, days).select("ticker", "ord", "date", forward_fill("mark", ["ticker"], "ord").alias("mark"), F.col("mark").alias("_own"))
+    grid = dense(used, days).select("ticker", "ord", "date", forward_fill("mark", ["ticker"], "ord").alias("mark"), F.col("mark").alias("_own")).persist()
     if execution_prices is not None:
         fills = execution_prices.select("date", "ticker", F.col(execution_price_field).cast("double").alias("px")).join(F.broadcast(days), "date").select("ticker", "ord", "px")
     else:
