@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorspark.functions.stats import MONTHS, annualize, average_rank, correlation, deciles, ratio
+from factorspark.functions.stats import MONTHS, RANK_DECIMALS, annualize, average_rank, correlation, deciles, ratio
 
 
 def information_coefficient(panel: DataFrame, *, method: str = "spearman") -> DataFrame:
@@ -14,9 +14,11 @@ def information_coefficient(panel: DataFrame, *, method: str = "spearman") -> Da
 
 
 def ic_summary(ic: DataFrame) -> DataFrame:
-    """(factor, n, mean, std, icir, t_stat, hit_rate) of IC series; ratios are null where std is 0."""
+    """(factor, n, mean, std, icir, t_stat, hit_rate) of IC series; ratios are null where std is 0.
+
+    An IC that is zero but for the order of summing is no hit."""
     agg = ic.filter("ic is not null").groupBy("factor").agg(
-        F.count("*").alias("n"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"), F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"))
+        F.count("*").alias("n"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"), F.avg((F.round("ic", RANK_DECIMALS) > 0).cast("double")).alias("hit_rate"))
     icir = ratio(F.col("mean"), F.col("std"))
     return agg.select("factor", "n", "mean", "std", icir.alias("icir"), (icir * F.sqrt("n")).alias("t_stat"), "hit_rate")
 

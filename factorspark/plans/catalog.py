@@ -25,7 +25,7 @@ def query(oracle: str | None = None, *, plain: bool = False):
     """Registers a function of a Market; ``plain`` SQL stands alone."""
 
     def register(fn: Callable[[Market], DataFrame]):
-        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Market(spark, sf_dir))
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Market.of(spark, sf_dir))
         if oracle:
             ORACLES[fn.__name__] = oracle if plain else sql(oracle)
         return fn
@@ -260,7 +260,7 @@ def op_x7_information_coefficient(m: Market) -> DataFrame:
 
 
 @query("""SELECT factor, count(*) AS n, round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS std, round(avg(ic) / stddev_samp(ic), 6) AS icir,
-  round(avg(ic) / stddev_samp(ic) * sqrt(count(*)), 5) AS t_stat, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM ic GROUP BY 1""")
+  round(avg(ic) / stddev_samp(ic) * sqrt(count(*)), 5) AS t_stat, round(avg(CASE WHEN round(ic, 12) > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM ic GROUP BY 1""")
 def op_x8_ic_summary(m: Market) -> DataFrame:
     return evaluation.ic_summary(m.ic).select("factor", "n", r("mean"), r("std"), r("icir"), r("t_stat", 5), r("hit_rate"))
 
@@ -597,7 +597,7 @@ def op_m16_regime_adaptive(m: Market) -> DataFrame:
 
 @query()
 def op_m24_three_schemes(m: Market) -> DataFrame:
-    return strategies.three_weight_schemes(m.bars, m.panel(factors.MomentumFactor()))
+    return strategies.three_weight_schemes(m.bars, m.panel(factors.MomentumFactor))
 
 
 @query()
@@ -625,6 +625,6 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Momentum's mean forward return by bucket."""
-    m = Market(spark, sf_dir)
-    ret = evaluation.decile_returns(m.panel(factors.MomentumFactor()))
+    m = Market.of(spark, sf_dir)
+    ret = evaluation.decile_returns(m.panel(factors.MomentumFactor))
     return ret.groupBy("bucket").agg(F.round(F.avg("ret"), 6).alias("mean_fwd_ret"), F.count("*").alias("n_dates"))

@@ -11,11 +11,13 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factorspark.lineage import cut
 from factorspark.operators import calendar, evaluation, factors, factor_risk, membership, monitor
 from factorspark.operators.covariance import CovarianceEstimator  # noqa: F401  (re-exported for user code)
 from factorspark.operators.strategies import filled_marks, top_bucket_weights
 
 SMOOTH, TOP_NAMES = 20, 20
+_MARKETS: dict[tuple[str, str], Market] = {}
 
 
 def _round6(x: Column) -> Column:
@@ -24,10 +26,27 @@ def _round6(x: Column) -> Column:
 
 
 class Market:
-    """Lazily built DataFrames; nothing runs until a query's action."""
+    """DataFrames over one folder of tables, built when first asked for.
+
+    Bars and what is as long as they are stay lazy and are kept in memory or on local disk. Calendars,
+    members, panels, ICs, exposures and targets have a row per rebalance date and name at most; they are
+    computed once and written to the shared checkpoint folder, so queries on them neither plan nor run
+    the market again.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self._panels: dict[tuple, DataFrame] = {}
+
+    @staticmethod
+    def of(spark: SparkSession, sf_dir: str) -> Market:
+        """The market of this application and folder; queries share it."""
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _MARKETS:
+            for old in [k for k in _MARKETS if k[0] != key[0]]:  # of applications that have ended
+                del _MARKETS[old]
+            _MARKETS[key] = Market(spark, sf_dir)
+        return _MARKETS[key]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -67,18 +86,18 @@ class Market:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return calendar.sessions(self.bars).persist()
+        return cut(calendar.sessions(self.bars))
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return calendar.rebalance_calendar(self.sessions, "month_end").persist()
+        return cut(calendar.rebalance_calendar(self.sessions, "month_end"))
 
     @cached_property
     def quarter_members(self) -> DataFrame:
         """(as_of, ticker, q): the most traded names of each quarter, as of its last day."""
         v = self.bars.groupBy(F.date_trunc("quarter", "date").cast("date").alias("q0"), "ticker").agg(F.sum("volume").alias("v"))
         r = v.withColumn("r", F.row_number().over(Window.partitionBy("q0").orderBy(F.col("v").desc(), "ticker"))).filter(F.col("r") <= TOP_NAMES)
-        return r.select(F.last_day(F.add_months("q0", 2)).alias("as_of"), "ticker", (F.year("q0") * 4 + F.quarter("q0")).alias("q"))
+        return cut(r.select(F.last_day(F.add_months("q0", 2)).alias("as_of"), "ticker", (F.year("q0") * 4 + F.quarter("q0")).alias("q")))
 
     @cached_property
     def constituents(self) -> DataFrame:
@@ -108,28 +127,30 @@ class Market:
     def members(self) -> DataFrame:
         """(as_of, ticker) on the rebalance dates, rebuilt from constituents and change log."""
         days = self.calendar.select(F.col("date").alias("as_of"))
-        return membership.members_as_of(self.constituents, self.changes, days, fetched_at=self.FETCHED).persist()
+        return cut(membership.members_as_of(self.constituents, self.changes, days, fetched_at=self.FETCHED))
 
-    def panel(self, *fs: factors.Factor) -> DataFrame:
-        """The panel, kept: evaluation, risk and regimes all start from it, and it has one row per factor,
-        rebalance date and name however many trades there were."""
-        return factors.factor_panel(list(fs) or [f() for f in factors.FACTORS], self.bars, self.calendar, self.members).persist()
+    def panel(self, *fs: type[factors.Factor]) -> DataFrame:
+        """(factor, date, ticker, value, fwd_ret) of the given (default: all) factors."""
+        kinds = fs or factors.FACTORS
+        if kinds not in self._panels:
+            self._panels[kinds] = cut(factors.factor_panel([f() for f in kinds], self.bars, self.calendar, self.members))
+        return self._panels[kinds]
 
     @cached_property
     def ic(self) -> DataFrame:
-        return evaluation.information_coefficient(self.panel()).persist()
+        return cut(evaluation.information_coefficient(self.panel()))
 
     @cached_property
     def regime(self) -> DataFrame:
-        return monitor.classify_regime(self.benchmark, expanding=True)
+        return cut(monitor.classify_regime(self.benchmark, expanding=True))
 
     @cached_property
     def exposures(self) -> DataFrame:
-        return factor_risk.exposure_panel(self.panel())
+        return cut(factor_risk.exposure_panel(self.panel()))
 
     @cached_property
     def marks(self) -> DataFrame:
-        return filled_marks(self.bars)
+        return filled_marks(self.bars).persist()
 
     @cached_property
     def nav(self) -> DataFrame:
@@ -138,7 +159,8 @@ class Market:
 
     @cached_property
     def momentum_targets(self) -> DataFrame:
-        return top_bucket_weights(factors.MomentumFactor().panel(self.bars, self.calendar.select(F.col("date").alias("as_of")), self.members), "momentum")
+        scores = factors.MomentumFactor().panel(self.bars, self.calendar.select(F.col("date").alias("as_of")), self.members)
+        return cut(top_bucket_weights(scores, "momentum"))
 
     @cached_property
     def monthly(self) -> DataFrame:
@@ -146,4 +168,4 @@ class Market:
         from factorspark.operators.strategies import monthly_returns
 
         r = monthly_returns(self.bars)
-        return r.select(F.make_date(F.floor(F.col("m") / 12).cast("int"), (F.col("m") % 12 + 1).cast("int"), F.lit(1)).alias("date"), F.col("ticker").alias("asset"), "ret")
+        return cut(r.select(F.make_date(F.floor(F.col("m") / 12).cast("int"), (F.col("m") % 12 + 1).cast("int"), F.lit(1)).alias("date"), F.col("ticker").alias("asset"), "ret"))
