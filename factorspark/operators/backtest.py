@@ -166,7 +166,7 @@ def run_backtest(
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _fold(pdf, key[0], capital, model, defer_halted, allow_fractional)
 
-    log = rows.groupBy("strategy").applyInPandas(run, _LOG).persist()
+    log = cut(rows.groupBy("strategy").applyInPandas(run, _LOG))  # every result starts from it
     w = Window.partitionBy("strategy").orderBy("ord")
     last = days.agg(F.max("ord").alias("_last"), F.min("ord").alias("_first"))
     cash = log.filter("kind = 'cash'").select("strategy", "ord", F.col("value").alias("cash"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorspark.functions.stats import ratio
+from factorspark.lineage import cut
 
 
 def _by():
@@ -93,7 +94,7 @@ def benchmark_metrics(nav: DataFrame, benchmark: DataFrame, ppy: DataFrame) -> D
 
 def compute_metrics(nav: DataFrame, *, benchmark: DataFrame | None = None, turnover: DataFrame | None = None, periods: int | None = None, risk_free: float = 0.0) -> DataFrame:
     """One row per strategy with all metrics; the four relative ones are null without a benchmark."""
-    nav = nav.filter("nav is not null").select("strategy", "date", "nav")
+    nav = cut(nav.filter("nav is not null").select("strategy", "date", "nav"))  # read by every metric
     ppy = nav.select("strategy").distinct().withColumn("ppy", F.lit(periods)) if periods else periods_per_year(nav)
     ends = nav.groupBy("strategy").agg(F.min_by("nav", "date").alias("_f"), F.max_by("nav", "date").alias("_l"), F.count("*").alias("_n"))
     ret = to_returns(nav).groupBy("strategy").agg(F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s"), F.count("*").alias("_k"))
