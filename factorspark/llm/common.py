@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factorspark.lineage import cut, kept_table, shared_folder
 
-__all__ = ["ascii_lower", "cut", "held_out", "kept_table", "n_words", "pick", "shared_folder", "table", "words"]
+__all__ = ["ascii_lower", "cut", "held_out", "kept_table", "n_words", "one_per_group", "pick", "shared_folder", "table", "words"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,3 +41,18 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """True for the rows no model may learn from: crc32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
+def one_per_group(docs: DataFrame, rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each group: smallest doc_id, nulls last, then smallest text hash.
+
+    ``rows`` has (doc_id, text_hash, h) of every row, ``comp`` (node, component) of the h that are
+    linked. A row is named by its doc_id and text together; rows that repeat both stay only once.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("t"))).alias("m")
+    by_class = rows.groupBy("h").agg(least)
+    named = by_class.join(comp, by_class["h"] == comp["node"], "left").groupBy(F.coalesce("component", "h")).agg(F.min("m").alias("m"))
+    kept = named.select(F.coalesce("m.id", F.lit(0)).alias("_id"), F.col("m.none").alias("_none"), F.col("m.t").alias("_text_hash"))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull(), "_text_hash": F.xxhash64("text")})
+    names = ["_id", "_none", "_text_hash"]
+    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)
