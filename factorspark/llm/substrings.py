@@ -116,46 +116,47 @@ def runs(raw: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray,
     return h[anchor].view(np.int64), ctx.view(np.int64), first, count
 
 
-def _pack(row: int, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """23 bits that tell apart texts under one doc_id, 33 of the start, 7 of the count."""
-    return (np.int64(row) << np.int64(40)) | (start.astype(np.int64) << np.int64(7)) | count.astype(np.int64)
+def _pack(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The start and, in 7 bits, the count."""
+    return (start.astype(np.int64) << np.int64(7)) | count.astype(np.int64)
 
 
-def _row_bits(raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw, 5) & 0x7FFFFF
+def _row_hash(raw: bytes) -> int:
+    """What tells apart texts under one doc_id: 64 bits, signed."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(raw, 5)).view(np.int64))
 
 
 #: kind of a row: 0 to be compared by anchor; 1 repeated; 2 to go on to the third digit; 3 marker.
-_RUN_SCHEMA = "kind int, a long, c long, doc long, at long"
-_NAMES = ["kind", "a", "c", "doc", "at"]
+_RUN_SCHEMA = "kind int, a long, c long, doc long, row long, at long"
+_NAMES = ["kind", "a", "c", "doc", "row", "at"]
 
 
-def _emit(kind: np.ndarray | int, a: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _emit(kind: np.ndarray | int, a: np.ndarray, c: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
     kinds = np.full(len(a), kind, np.int32) if isinstance(kind, int) else kind.astype(np.int32)
     for k in range(0, len(a), _OUT):
         s = slice(k, k + _OUT)
-        yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (kinds, a, c, doc, at)], names=_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (kinds, a, c, doc, row, at)], names=_NAMES)
 
 
-def _settle(a: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _settle(a: np.ndarray, c: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
     """What a task can tell on its own about its runs."""
-    order = np.lexsort((at, doc, c, a))
-    a, c, doc, at = a[order], c[order], doc[order], at[order]
+    order = np.lexsort((at, row, doc, c, a))
+    a, c, doc, row, at = a[order], c[order], doc[order], row[order], at[order]
     new_a = np.concatenate(([True], a[1:] != a[:-1]))
     new_c = new_a | np.concatenate(([True], c[1:] != c[:-1]))
     lead = np.flatnonzero(new_c)
     of = np.cumsum(new_c) - 1
     # equal rows of a repeated document tie with the first and stay with it
-    tie = (doc == doc[lead[of]]) & (at == at[lead[of]])
-    yield from _emit(1, a[~tie], c[~tie], doc[~tie], at[~tie])
+    tie = (doc == doc[lead[of]]) & (row == row[lead[of]]) & (at == at[lead[of]])
+    yield from _emit(1, a[~tie], c[~tie], doc[~tie], row[~tie], at[~tie])
     n_ctx = np.bincount((np.cumsum(new_a) - 1)[lead])
     many = n_ctx[np.cumsum(new_a) - 1] > 1
     one, on = lead[~many[lead]], lead[many[lead]]
-    yield from _emit(0, a[one], c[one], doc[one], at[one])
-    yield from _emit(2, a[on], c[on], doc[on], at[on])
+    yield from _emit(0, a[one], c[one], doc[one], row[one], at[one])
+    yield from _emit(2, a[on], c[on], doc[on], row[on], at[on])
     mark = np.flatnonzero(new_a & many)
     zero = np.zeros(len(mark), np.int64)
-    yield from _emit(3, a[mark], zero, zero, zero)
+    yield from _emit(3, a[mark], zero, zero, zero, zero)
 
 
 def _first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +166,7 @@ def _first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
             a, c, first, count = runs(raw)
             if len(a):
-                held.append((a, c, np.full(len(a), _FAR if doc is None else doc, np.int64), _pack(_row_bits(raw), first, count)))
+                held.append((a, c, np.full(len(a), _FAR if doc is None else doc, np.int64), np.full(len(a), _row_hash(raw), np.int64), _pack(first, count)))
                 size += len(a)
         if size >= BATCH:
             yield from _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -175,18 +176,18 @@ def _first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _second_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (a, c, doc, at), a whole anchor to a task; kinds 1 and 2 pass through."""
+    """Rows come sorted by (a, c, doc, row, at), a whole anchor to a task; kinds 1 and 2 pass through."""
     # the last row seen, the first row of its context, and an anchor's first context while it is the only one
     last_a = last_c = lead = None
-    pending: list[tuple[int, int, int, int]] = []
+    pending: list[tuple[int, int, int, int, int]] = []
     several = False
     out: list[list[int]] = []
 
     def done() -> Iterator[pa.RecordBatch]:
         if out:
-            kind, a, c, doc, at = (np.array(x, np.int64) for x in zip(*out, strict=True))
+            cols = [np.array(x, np.int64) for x in zip(*out, strict=True)]
             out.clear()
-            yield from _emit(kind, a, c, doc, at)
+            yield from _emit(*cols)
 
     for b in batches:
         cols = [np.asarray(x) for x in b.columns]
@@ -194,13 +195,13 @@ def _second_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         through = (kind == 1) | (kind == 2)
         if through.any():
             yield from _emit(kind[through], *(x[through] for x in cols[1:]))
-        k, a, c, doc, at = (x[~through] for x in cols)
+        k, a, c, doc, row, at = (x[~through] for x in cols)
         if not len(a):
             continue
         # an anchor with one row, inside the batch, needs nothing: only the others are walked
         alone = np.concatenate(([a[0] != last_a], a[1:] != a[:-1])) & np.concatenate((a[1:] != a[:-1], [False]))
         walk = np.flatnonzero(~alone)
-        for kk, aa, cc, dd, tt in zip(k[walk].tolist(), a[walk].tolist(), c[walk].tolist(), doc[walk].tolist(), at[walk].tolist(), strict=True):
+        for kk, aa, cc, dd, rr, tt in zip(*(x[walk].tolist() for x in (k, a, c, doc, row, at)), strict=True):
             if aa != last_a:
                 last_a, last_c, lead, several, pending = aa, None, None, False, []
             if kk == 3:
@@ -211,15 +212,15 @@ def _second_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if cc != last_c:
                 if last_c is not None:
                     several = True
-                last_c, lead = cc, (dd, tt)
-            if (dd, tt) != lead:
-                out.append([1, aa, cc, dd, tt])
+                last_c, lead = cc, (dd, rr, tt)
+            if (dd, rr, tt) != lead:
+                out.append([1, aa, cc, dd, rr, tt])
             elif several:
                 out.extend([2, *p] for p in pending)
                 pending = []
-                out.append([2, aa, cc, dd, tt])
+                out.append([2, aa, cc, dd, rr, tt])
             else:
-                pending.append((aa, cc, dd, tt))
+                pending.append((aa, cc, dd, rr, tt))
         if len(out) >= _OUT:
             yield from done()
     yield from done()
@@ -229,61 +230,60 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as compressed bytes: they cross a shuffle."""
     pack = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        z = [pack.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(1)]
+        raws = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column(1)]
+        z, row = [pack.compress(raw) for raw in raws], [_row_hash(raw) for raw in raws]
         doc = [_FAR if d is None else d for d in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(doc, pa.int64()), pa.array(z, pa.binary())], names=["doc_id", "doc", "z"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(z, pa.binary())], names=["doc_id", "doc", "row", "z"])
 
 
 def _release(z: pa.Scalar, unpack: zstandard.ZstdDecompressor) -> bytes:
     return unpack.decompress(z.as_py())
 
 
-_DEEP_SCHEMA = "a long, w long, doc long, at long, ctx binary"
-_DEEP = ["a", "w", "doc", "at", "ctx"]
+_DEEP_SCHEMA = "a long, w long, doc long, row long, at long, ctx binary"
+_DEEP = ["a", "w", "doc", "row", "at", "ctx"]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, w, doc, at, ctx) of the runs that need the third digit: the context, or for hot anchors one
+    """(a, w, doc, row, at, ctx) of the runs that need the third digit: the context, or for hot anchors one
     row a window with its hash; of equal windows of a hot anchor a task sends on the first and the
     others as known repeats (a null)."""
     unpack, held, size = zstandard.ZstdDecompressor(), [], 0
 
     def settle() -> Iterator[pa.RecordBatch]:
-        a, w, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((at, doc, w, a))
-        a, w, doc, at = a[order], w[order], doc[order], at[order]
+        a, w, doc, row, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((at, row, doc, w, a))
+        a, w, doc, row, at = a[order], w[order], doc[order], row[order], at[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1])))
         of = np.flatnonzero(new)[np.cumsum(new) - 1]
-        known = (doc != doc[of]) | (at != at[of])
+        known = (doc != doc[of]) | (row != row[of]) | (at != at[of])
         send = new | known
         for k in range(0, int(send.sum()), _OUT):
             i = np.flatnonzero(send)[k : k + _OUT]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a[i], pa.int64(), mask=known[i]), pa.array(w[i]), pa.array(doc[i]), pa.array(at[i]), pa.nulls(len(i), pa.binary())], names=_DEEP)
+                [pa.array(a[i], pa.int64(), mask=known[i]), pa.array(w[i]), pa.array(doc[i]), pa.array(row[i]), pa.array(at[i]), pa.nulls(len(i), pa.binary())], names=_DEEP)
 
     for b in batches:
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for doc, z, anchors, spots, hot in zip(b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4), b.column(5), strict=True):
+        out: tuple[list, list, list, list, list] = ([], [], [], [], [])
+        for doc, row, z, anchors, spots, hot in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), *b.columns[3:], strict=True):
             raw = _release(z, unpack)
-            row = _row_bits(raw)
             at, a, h = np.asarray(spots.values), np.asarray(anchors.values), hot.values.to_numpy(zero_copy_only=False)
-            mine = (at >> 40) == row
-            at, a, h = at[mine], a[mine], h[mine]
-            start, count = (at >> 7) & ((1 << 33) - 1), at & 127
+            start, count = at >> 7, at & 127
             for aa, tt, s, c in zip(a[~h].tolist(), at[~h].tolist(), start[~h].tolist(), count[~h].tolist(), strict=True):
                 out[0].append(aa)
                 out[1].append(doc)
-                out[2].append(tt)
-                out[3].append(raw[s : s + c + WIDTH - 1])
+                out[2].append(row)
+                out[3].append(tt)
+                out[4].append(raw[s : s + c + WIDTH - 1])
             if h.any():
                 start, count = start[h], count[h]
                 starts = np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
                 w = _rolling(np.frombuffer(raw, np.uint8), WIDTH, _B)[starts].view(np.int64)
-                held.append((np.repeat(a[h], count), w, np.full(len(starts), doc, np.int64), _pack(row, starts, np.ones(len(starts), np.int64))))
+                held.append((np.repeat(a[h], count), w, np.full(len(starts), doc, np.int64), np.full(len(starts), row, np.int64), _pack(starts, np.ones(len(starts), np.int64))))
                 size += len(starts)
         if out[0]:
             n = len(out[0])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(np.zeros(n, np.int64)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=_DEEP)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(np.zeros(n, np.int64)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=_DEEP)
         if size >= BATCH:
             yield from settle()
             held, size = [], 0
@@ -291,53 +291,53 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle()
 
 
-def _repeats(w: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _repeats(w: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which windows are not the first of their hash; ties with the first stay."""
-    order = np.lexsort((at, doc, w))
+    order = np.lexsort((at, row, doc, w))
     ws = w[order]
     new = np.concatenate(([True], ws[1:] != ws[:-1]))
     of = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
     out = np.zeros(len(w), bool)
-    out[order] = (doc[order] != doc[of]) | (at[order] != at[of])
+    out[order] = (doc[order] != doc[of]) | (row[order] != row[of]) | (at[order] != at[of])
     return out
 
 
-def _compare(doc: np.ndarray, at: np.ndarray, ctx: list[bytes]) -> pa.RecordBatch:
+def _compare(doc: np.ndarray, row: np.ndarray, at: np.ndarray, ctx: list[bytes]) -> pa.RecordBatch:
     """Repeated windows of whole anchors' contexts, as runs; equal windows share their anchor."""
     count = at & 127
     size = np.fromiter(map(len, ctx), np.int64, len(ctx))
     base = np.concatenate(([0], np.cumsum(size)[:-1]))
     inside = np.arange(count.sum()) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)
     w = _rolling(np.frombuffer(b"".join(ctx), np.uint8), WIDTH, _B)[np.repeat(base, count) + inside]
-    wdoc, start = np.repeat(doc, count), np.repeat((at >> 7) & ((1 << 33) - 1), count) + inside
-    row = np.repeat(at >> 40, count)
-    wat = (row << 40) | (start << 7) | 1
-    bad = np.flatnonzero(_repeats(w, wdoc, wat))
+    wdoc, wrow, start = np.repeat(doc, count), np.repeat(row, count), np.repeat(at >> 7, count) + inside
+    wat = (start << 7) | 1
+    bad = np.flatnonzero(_repeats(w, wdoc, wrow, wat))
     if not len(bad):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["doc", "at"])
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["doc", "row", "at"])
     of = np.repeat(np.arange(len(at)), count)[bad]
     cut_ = np.flatnonzero(np.concatenate(([True], (np.diff(bad) != 1) | (np.diff(of) != 0))))
     n = np.diff(np.concatenate((cut_, [len(bad)])))
     first = bad[cut_]
-    return pa.RecordBatch.from_arrays([pa.array(wdoc[first]), pa.array((wat[first] & ~np.int64(127)) | n)], names=["doc", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(wdoc[first]), pa.array(wrow[first]), pa.array((wat[first] & ~np.int64(127)) | n)], names=["doc", "row", "at"])
 
 
 def _third_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, at) of repeated windows. Rows come sorted by (a, w, doc, at): contexts of an anchor
+    """(doc, row, at) of repeated windows. Rows come sorted by (a, w, doc, row, at): contexts of an anchor
     together, and each window of a hot one after its first."""
-    docs, ats, ctxs, last = [], [], [], None
+    docs, rows, ats, ctxs, last = [], [], [], [], None
     key, lead = None, None
 
     def flush() -> Iterator[pa.RecordBatch]:
         if docs:
-            yield _compare(np.array(docs, np.int64), np.array(ats, np.int64), ctxs)
+            yield _compare(np.array(docs, np.int64), np.array(rows, np.int64), np.array(ats, np.int64), ctxs)
             docs.clear()
+            rows.clear()
             ats.clear()
             ctxs.clear()
 
     for b in batches:
-        whole = np.asarray(b.column(4).is_valid())
-        a, w, doc, at = b.column(0), *(np.asarray(x) for x in b.columns[1:4])
+        whole = np.asarray(b.column(5).is_valid())
+        a, w, doc, row, at = b.column(0), *(np.asarray(x) for x in b.columns[1:5])
         known = ~np.asarray(a.is_valid())
         a = np.asarray(a.fill_null(0))
         for i in np.flatnonzero(whole).tolist():
@@ -346,15 +346,16 @@ def _third_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(docs) >= 2 * HOT:
                     yield from flush()
             docs.append(int(doc[i]))
+            rows.append(int(row[i]))
             ats.append(int(at[i]))
-            ctxs.append(b.column(4)[i].as_py())
+            ctxs.append(b.column(5)[i].as_py())
         bad = known.copy()
         for i in np.flatnonzero(~whole & ~known).tolist():
             if (a[i], w[i]) != key:
-                key, lead = (a[i], w[i]), (doc[i], at[i])
-            bad[i] = (doc[i], at[i]) != lead
+                key, lead = (a[i], w[i]), (doc[i], row[i], at[i])
+            bad[i] = (doc[i], row[i], at[i]) != lead
         if bad.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[bad]), pa.array(at[bad])], names=["doc", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[bad]), pa.array(row[bad]), pa.array(at[bad])], names=["doc", "row", "at"])
     yield from flush()
 
 
@@ -370,15 +371,12 @@ def _carve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for b in batches:
         out = []
-        for doc, z, spots in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+        for doc, z, spots in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
             raw = _release(z, unpack)
             spans: list[tuple[int, int]] = []
             if spots.is_valid:
                 at = np.asarray(spots.values)
-                at = at[(at >> 40) == _row_bits(raw)]
-                if len(at):
-                    start = (at >> 7) & ((1 << 33) - 1)
-                    spans = _merge(start, start + (at & 127) + WIDTH - 1)
+                spans = _merge(at >> 7, (at >> 7) + (at & 127) + WIDTH - 1)
             sha, pos = hashlib.sha256(), 0
             for s, e in spans:
                 sha.update(raw[pos:s])
@@ -403,18 +401,18 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # rows that only pass through are dealt by their place
-    deal = F.when(F.col("kind").isin(1, 2), F.xxhash64("doc", "at")).otherwise(F.col("a"))
-    dealt = rows.mapInArrow(_first_digits, _RUN_SCHEMA).repartition(deal).sortWithinPartitions("a", "c", "doc", "at")
-    second = kept_table(dealt.mapInArrow(_second_digit, _RUN_SCHEMA).select("kind", "a", "doc", "at"), "runs")
+    deal = F.when(F.col("kind").isin(1, 2), F.xxhash64("doc", "row", "at")).otherwise(F.col("a"))
+    dealt = rows.mapInArrow(_first_digits, _RUN_SCHEMA).repartition(deal).sortWithinPartitions("a", "c", "doc", "row", "at")
+    second = kept_table(dealt.mapInArrow(_second_digit, _RUN_SCHEMA).select("kind", "a", "doc", "row", "at"), "runs")
     hot = second.filter("kind = 2").groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("a", F.lit(True).alias("hot"))
-    wanted = second.filter("kind = 2").join(hot, "a", "left").groupBy("doc").agg(
+    wanted = second.filter("kind = 2").join(hot, "a", "left").groupBy("doc", "row").agg(
         F.collect_list("a").alias("as"), F.collect_list("at").alias("ats"), F.collect_list(F.coalesce("hot", F.lit(False))).alias("hots"))
     # both joins read the texts from one shuffle
-    texts = rows.mapInArrow(_squeeze, "doc_id long, doc long, z binary").repartition("doc")
-    todo = texts.join(wanted, "doc").select("doc_id", "doc", "z", "as", "ats", "hots")
+    texts = rows.mapInArrow(_squeeze, "doc_id long, doc long, row long, z binary").repartition("doc", "row")
+    todo = texts.join(wanted, ["doc", "row"]).select("doc_id", "doc", "row", "z", "as", "ats", "hots")
     deep = todo.mapInArrow(_contexts, _DEEP_SCHEMA)
-    spread = F.when(F.col("ctx").isNotNull(), F.col("a")).when(F.col("a").isNull(), F.xxhash64("doc", "at")).otherwise(F.xxhash64("a", "w"))
-    deep = deep.repartition(spread).sortWithinPartitions("a", "w", "doc", "at").mapInArrow(_third_digit, "doc long, at long")
-    gone = second.filter("kind = 1").select("doc", "at").unionByName(deep).groupBy("doc").agg(F.collect_set("at").alias("ats"))
-    whole = texts.join(gone, "doc", "left").select("doc_id", "doc", "z", "ats")
+    spread = F.when(F.col("ctx").isNotNull(), F.col("a")).when(F.col("a").isNull(), F.xxhash64("doc", "row", "at")).otherwise(F.xxhash64("a", "w"))
+    deep = deep.repartition(spread).sortWithinPartitions("a", "w", "doc", "row", "at").mapInArrow(_third_digit, "doc long, row long, at long")
+    gone = second.filter("kind = 1").select("doc", "row", "at").unionByName(deep).groupBy("doc", "row").agg(F.collect_set("at").alias("ats"))
+    whole = texts.join(gone, ["doc", "row"], "left").select("doc_id", "z", "ats")
     return whole.mapInArrow(_carve, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
