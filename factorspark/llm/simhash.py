@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import cut
+from factorspark.llm.common import cut, one_per_group
 from factorspark.llm.components import components
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 3, 2
@@ -210,12 +210,12 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one of the smallest doc_id.
+    """``docs`` with one row of each near-duplicate group: the smallest doc_id, nulls last.
 
-    Rows that repeat the kept doc_id stay only once. Rows with a null doc_id all stay, for nothing
-    can name them. Columns as given.
+    A row is named by its doc_id and text together; rows that repeat both stay only once. Columns
+    as given.
     """
-    near = near_duplicates(docs, radius=radius)
-    kept = near.groupBy("component_id").agg(F.count("*").alias("_n")).select(F.col("component_id").alias("_keep"))
-    first = docs.join(kept, docs["doc_id"] == kept["_keep"], "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.filter("doc_id is null"))
+    hashed = docs.select(F.xxhash64("text").alias("doc_id"), F.col("text"))
+    comp = near_duplicates(hashed, radius=radius).select(F.col("doc_id").alias("node"), F.col("component_id").alias("component")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.xxhash64("text").alias("h"))
+    return one_per_group(docs, rows, comp)
