@@ -80,7 +80,7 @@ class Grammar:
 
     def clause(self, toks: list[str]) -> float:
         """One run of the clause automaton."""
-        total, negated, quoted, targeted = 0.0, 0, 1.0, 1.0
+        total, threat, negated, quoted, targeted = 0.0, 0.0, 0, 1.0, 1.0
         for t in toks:
             negated -= negated > 0
             if t in NEGATION:
@@ -89,9 +89,12 @@ class Grammar:
                 quoted = QUOTED
             elif t in TARGET:
                 targeted = RAISED
-            w = self.weight(t) or (1.0 if t in THREAT and targeted > 1 else 0.0)
-            total += w * (NEGATED if negated else 1.0)
-        return total * quoted * targeted
+            w, damped = self.weight(t), NEGATED if negated else 1.0
+            total += w * damped
+            if not w and t in THREAT:
+                threat += damped
+        # a threat counts if its target stands anywhere in the clause
+        return (total + (threat if targeted > 1 else 0.0)) * quoted * targeted
 
     def raw(self, text: str | None) -> float:
         """Summed weight of the matched clauses per log of the length, 0 where nothing matches."""
