@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from factorspark.lineage import cut, kept_table, shared_folder
 
-__all__ = ["ascii_lower", "cut", "held_out", "kept_table", "n_words", "one_per_group", "pick", "shared_folder", "table", "words"]
+__all__ = ["ascii_lower", "cut", "held_out", "kept_table", "n_words", "nameless", "one_per_group", "shared_folder", "spread_join", "table", "words"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: A table of so many rows may be broadcast.
+SMALL = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,9 +35,26 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns only, so that an input's other columns can't clash with ours."""
-    return df.select(*(F.col(f"`{n}`") for n in names))
+def nameless(df: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """``df`` with its columns called ``c0_``, ``c1_``, ... so that none clashes with ours; the names it had, and old to new."""
+    new = [f"c{k}_" for k in range(len(df.columns))]
+    return df.toDF(*new), list(df.columns), dict(zip(df.columns, new, strict=True))
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, *, small: int = SMALL) -> DataFrame:
+    """``rows`` joined with ``facts``, one row for each key, ``n`` of which says how many rows have it.
+
+    At most ``small`` facts are broadcast as they are. Of more, the keys with over 1 / ``small`` of
+    all rows (there can't be more than ``small``) are broadcast, so their rows stay where they are;
+    the others are joined by a shuffle in which no key is hot. Keys are not null; ``n`` is dropped.
+    """
+    facts = cut(facts)
+    size = facts.agg(F.count("*").alias("k"), F.sum(n).alias("n")).first()
+    if size["k"] <= small:
+        return rows.join(F.broadcast(facts.drop(n)), keys)
+    hot = facts.filter(F.col(n) > max(1, size["n"] // small))
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.join(F.broadcast(hot.select(*keys)), keys, "left_anti").drop(n), keys)
+    return rows.join(F.broadcast(hot.drop(n)), keys).unionByName(cold)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,6 +72,8 @@ def one_per_group(docs: DataFrame, rows: DataFrame, comp: DataFrame) -> DataFram
     by_class = rows.groupBy("h").agg(least)
     named = by_class.join(comp, by_class["h"] == comp["node"], "left").groupBy(F.coalesce("component", "h")).agg(F.min("m").alias("m"))
     kept = named.select(F.coalesce("m.id", F.lit(0)).alias("_id"), F.col("m.none").alias("_none"), F.col("m.t").alias("_text_hash"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull(), "_text_hash": F.xxhash64("text")})
+    own, columns, to = nameless(docs)
+    doc_id, text = F.col(to["doc_id"]), F.col(to["text"])
+    keyed = own.withColumns({"_id": F.coalesce(doc_id.cast("long"), F.lit(0)), "_none": doc_id.isNull(), "_text_hash": F.xxhash64(text)})
     names = ["_id", "_none", "_text_hash"]
-    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*own.columns).toDF(*columns)

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import cut
+from factorspark.llm.common import SMALL, cut, spread_join
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, *, small: int = SMALL) -> DataFrame:
     """(node, component) of an undirected edge table (a, b); component is the smallest node reached.
 
     Large-star / small-star contraction: each round links the larger neighbours of a node, then the
-    smaller ones, to the smallest node it sees. The edge count never grows, the minimum is a
-    map-side combined aggregate, and the joins carry one row per edge, so a node with very many
-    links is an ordinary skewed join that adaptive execution splits; nothing is gathered per node.
+    smaller ones, to the smallest node it sees. The edge count never grows and the minimum is a
+    map-side combined aggregate; nothing is gathered per node. The minima of nodes with very many
+    links are broadcast (``spread_join``: a bounded number), so their edges stay where they are.
     Rounds grow with the logarithm of the longest chain; each is cut by a checkpoint.
     """
     links = cut(edges.filter("a is not null and b is not null and a <> b").select(
@@ -24,11 +24,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both.filter("v > u"), low, ["u"], "n", small=small).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = cut(large)
         # the larger end points at its smaller ends: tie them all to the smallest
-        joined = large.join(small_low, "u")
+        joined = spread_join(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), ["u"], "n", small=small)
         new = joined.select(F.explode(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         ).select("e.*").filter("u <> v").distinct()

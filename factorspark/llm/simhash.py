@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import cut, one_per_group
+from factorspark.llm.common import cut, one_per_group, spread_join
 from factorspark.llm.components import components
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 3, 2
@@ -201,12 +201,12 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     other columns are ignored; an empty table gives an empty result.
     """
     fps = cut(fingerprints(docs))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     comp = components(links(classes, radius=radius))
-    named = classes.join(comp, classes["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    lowest = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    by_class = named.join(lowest, "c").select("fp", "component_id")
-    return fps.join(by_class, "fp").select("doc_id", "fp", "component_id")
+    named = classes.join(comp, classes["fp"] == comp["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("c"))
+    lowest = named.groupBy("c").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    by_class = spread_join(named.select("fp", "n", "c"), lowest, ["c"], "members").select("fp", "n", "component_id")
+    return spread_join(fps, by_class, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
