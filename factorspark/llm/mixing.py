@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import cut, n_words
+from factorspark.llm.common import cut, n_words, nameless, spread_join
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -23,15 +23,19 @@ _SCALE = float(1 << 53)
 
 
 def source_targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(source, source_size, target) of a table of (source, size) rows.
+    """(source, source_size, target, n_units) of a table of (source, size) rows.
 
     Sources in code-point order (null last) take ``weights`` in turn and share ``share`` of all
     sizes; a target stops at ``most`` times its source's size and the excess goes to the others by
     weight, again and again until none is above. Each round is one aggregate over the catalogue of
     sources; the driver gets its single row. A source without words has target 0.
     """
-    total = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    total = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n_units"))
+    # places by a range shuffle: numbered inside each part and shifted by the parts before
+    total = cut(total.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    before = total.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    total, place = total.withColumn("inside", inside).join(F.broadcast(before), "part"), F.col("before") + F.col("inside") - 1
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (place % len(weights) + 1).cast("int"))
     cat = cut(total.withColumn("w", weight).withColumn("most", F.col("source_size") * F.lit(float(most))))
     level, full = None, -1
@@ -48,7 +52,7 @@ def source_targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = SHARE, m
             break
         level = (share * row["all"] - row["used"]) / row["left"]
     target = F.least(F.col("w") * F.lit(level if level is not None else 0.0), F.col("most"))
-    return cat.select("source", "source_size", target.alias("target"))
+    return cat.select("source", "source_size", target.alias("target"), "n_units")
 
 
 def _fight(rows: Column, seed: int) -> Column:
@@ -100,16 +104,15 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float =
     an empty table gives an empty result.
     """
     unit = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")
     )
     units = cut(unit.groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").alias("n_rows")))
     targets = source_targets(units.select("source", (F.col("size") * F.col("n_rows")).alias("size")), weights=weights, share=share, most=most)
-    counts = units.groupBy("source").agg(F.count("*").alias("n_units"))
-    targets = targets.join(counts.withColumnRenamed("source", "_s"), targets["source"].eqNullSafe(F.col("_s"))).drop("_s")
-    t = targets.withColumnRenamed("source", "_s")
     # the ratio is at most ``most``; a target at its cap has exactly that many copies of everything
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = units.join(t, units["source"].eqNullSafe(t["_s"])).drop("_s").withColumn("ratio", ratio)
+    key = [F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("key")]
+    keyed = targets.select(*key, "source_size", "target", "n_units", F.col("n_units").alias("n"))
+    rows = spread_join(units.select("*", *key), keyed, ["none", "key"], "n").drop("none", "key").withColumn("ratio", ratio)
     rows = rows.withColumn("whole", F.floor("ratio").cast("long")).withColumn("p", F.col("ratio") - F.floor("ratio"))
     rows = rows.withColumn("id", F.struct(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")))
     rows = cut(rows.drop("ratio"))
@@ -145,9 +148,8 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, most: float =
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; only its own columns."""
-    plan = mix(docs, **how).select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), F.col("copies").alias("_c")
-    ).filter("_c > 0")
-    d = docs.withColumn("_th", F.xxhash64("text"))
-    joined = d.join(plan, d["doc_id"].cast("long").eqNullSafe(plan["_d"]) & (d["_th"] == plan["_h"]) & d["source"].eqNullSafe(plan["_s"]))
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*(d[c] for c in docs.columns))
+    own, columns, to = nameless(docs)
+    plan = mix(docs, **how).filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"), "copies")
+    d = own.withColumn("_th", F.xxhash64(to["text"]))
+    same = d[to["doc_id"]].cast("long").eqNullSafe(plan["_d"]) & (d["_th"] == plan["_h"]) & d[to["source"]].cast("string").eqNullSafe(plan["_s"])
+    return d.join(plan, same).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*own.columns).toDF(*columns)
