@@ -11,13 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorspark.llm.common import nameless, spread_join
+
 #: The multiplier of the published generator, as 32-bit limbs.
 MULTIPLIER = 2862933555777941757
 C_HI, C_LO = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF
 C_LO_HI, C_LO_LO = C_LO >> 16, C_LO & 0xFFFF
 M32 = 0xFFFFFFFF
-#: Slots are numbered within this many sub-buckets of a shard, so no task sorts a whole shard.
-SUB_BUCKETS = 4096
+#: Slots are numbered within sub-buckets of a shard, so no task sorts a whole shard; there are about so many in all.
+BUCKETS = 98_304
+#: Jumps made at a time; a row that has not landed by then makes as many again, and so on.
+ROUNDS = 8
 
 
 def _next(hi: Column, lo: Column) -> tuple[Column, Column]:
@@ -35,7 +39,9 @@ def _next(hi: Column, lo: Column) -> tuple[Column, Column]:
 def jump_hash(key: Column, n: int) -> Column:
     """Struct (shard, grown): the key's shard among ``n`` and among ``n + 1``.
 
-    Jumps are strictly increasing, so ``n + 1`` rounds always suffice. A null key counts as 0.
+    About ln(n) jumps land; a row that has not landed after ``ROUNDS`` goes on for as many more,
+    then twice and four times as many. Jumps are strictly increasing, so n + 2 always suffice and
+    no row is left over. A null key counts as 0.
     """
     key = F.coalesce(key.cast("long"), F.lit(0).cast("long"))
     start = F.struct(
@@ -55,8 +61,17 @@ def jump_hash(key: Column, n: int) -> Column:
             hi.alias("hi"), lo.alias("lo"), F.when(landed > n, landed).otherwise(jump).alias("j"), b.alias("b"), g.alias("g")
         )
 
-    rounds = F.sequence(F.lit(1), F.lit(n + 2))
-    return F.aggregate(rounds, start, step, lambda s: F.struct(s["b"].cast("int").alias("shard"), s["g"].cast("int").alias("grown")))
+    def go_on(state: Column, rounds: int, left: int) -> Column:
+        """``state`` after ``rounds`` jumps, the rows still under way going on; each state is computed once."""
+        done = F.aggregate(F.sequence(F.lit(1), F.lit(min(rounds, left))), state, step)
+        if left <= rounds:
+            return done
+        more = 2 * rounds if left < n + 2 else rounds
+        one = F.transform(F.array(done), lambda s: F.when(s["j"] > n, s).otherwise(go_on(s, more, left - rounds)))
+        return F.element_at(one, 1)
+
+    end = F.transform(F.array(go_on(start, ROUNDS, n + 2)), lambda s: F.struct(s["b"].cast("int").alias("shard"), s["g"].cast("int").alias("grown")))
+    return F.element_at(end, 1)
 
 
 def text_size(text: Column) -> Column:
@@ -69,9 +84,10 @@ def shard(df: DataFrame, n_shards: int, *, key: str = "doc_id", text: str = "tex
 
     Law: ``key``. The shard depends on the key and ``n_shards`` only; equal texts under different
     keys may part. Slots number each shard's rows from 0 without a gap: rows fall into
-    ``SUB_BUCKETS`` sub-buckets by a hash of the key, are numbered inside (by key, then CRC), and
-    shifted by the counts of the sub-buckets before, a table of at most n_shards * SUB_BUCKETS
-    rows. So a task sorts sub-buckets, never a shard.
+    sub-buckets by a hash of key and text, are numbered inside (by key, then CRC), and shifted by
+    the counts of the sub-buckets before, a table of about ``BUCKETS`` rows (or ``n_shards``, if
+    more; beyond 100,000 it is joined by a shuffle). So a task sorts sub-buckets, never a shard,
+    and rows under one key part by their texts.
 
     Defined cases: null key: shard of key 0. Null text: size 8, CRC 0. Repeated rows: a slot each.
     Input columns with one of the six names are replaced; others pass through. Empty: empty.
@@ -79,24 +95,25 @@ def shard(df: DataFrame, n_shards: int, *, key: str = "doc_id", text: str = "tex
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
     added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    rest = [c for c in df.columns if c not in added]
-    sub = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0).cast("long"))), F.lit(SUB_BUCKETS))
+    own, columns, to = nameless(df.select(*(F.col(f"`{c}`") for c in df.columns if c not in added or c in (key, text))))
+    rest = [(to[c], c) for c in columns if c not in added]
+    k, t = F.col(to[key]), F.col(to[text])
+    subs = max(1, BUCKETS // n_shards)
 
     def placed(x: DataFrame) -> DataFrame:
-        j = x.withColumn("_j", jump_hash(F.col(f"`{key}`"), n_shards)).withColumn("_sub", sub)
-        return j.withColumn("shard", F.col("_j.shard")).withColumn("grown_shard", F.col("_j.grown")).drop("_j")
+        sub = F.pmod(F.xxhash64(F.coalesce(k.cast("long"), F.lit(0).cast("long")), F.col("text_crc32")), F.lit(subs))
+        x = x.withColumn("text_crc32", F.coalesce(F.crc32(t), F.lit(0)).cast("long"))
+        return x.withColumn("_j", jump_hash(k, n_shards)).select(*x.columns, sub.alias("sub"), F.col("_j.shard").alias("shard"), F.col("_j.grown").alias("grown_shard"))
 
-    rows = placed(df.select(*(F.col(f"`{c}`") for c in rest)))
-    rows = rows.withColumn("size", text_size(F.col(f"`{text}`")))
-    rows = rows.withColumn("text_crc32", F.coalesce(F.crc32(F.col(f"`{text}`")), F.lit(0)).cast("long"))
-    before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed(own).withColumn("size", text_size(t))
+    before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed(df.select(F.col(f"`{key}`"))).groupBy("shard", "_sub").agg(F.count("*").alias("_n"))
-        .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("shard", "_sub", "_off")
+        placed(own.select(k, t) if key != text else own.select(k)).groupBy("shard", "sub").agg(F.count("*").alias("n"))
+        .withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0))).select("shard", "sub", "off", "n")
     )
-    inside = Window.partitionBy("shard", "_sub").orderBy(F.col(f"`{key}`"), "text_crc32", "size")
-    out = rows.join(F.broadcast(offsets), ["shard", "_sub"]).withColumn("_rn", F.row_number().over(inside))
+    inside = Window.partitionBy("shard", "sub").orderBy(k, "text_crc32", "size")
+    out = spread_join(rows, offsets, ["shard", "sub"], "n").withColumn("rn", F.row_number().over(inside))
     return out.select(
-        *(F.col(f"`{c}`") for c in rest), "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        (F.col("_rn") - 1 + F.col("_off")).cast("long").alias("slot"), "grown_shard",
+        *(F.col(x).alias(c) for x, c in rest), "size", "text_crc32", F.lit("key").alias("law"), "shard",
+        (F.col("rn") - 1 + F.col("off")).cast("long").alias("slot"), "grown_shard",
     )
