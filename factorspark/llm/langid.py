@@ -1,6 +1,6 @@
 """Language identification by hyperdimensional profiles.
 
-A letter is a random vector of ``DIM`` signs drawn from its code point. An n-gram binds its
+A letter is a random vector of ``DIM`` signs drawn from its code point, every letter its own. An n-gram binds its
 letters: each is permuted (rotated) by its place and the vectors are multiplied. A text bundles
 its n-grams by adding them up, a language's prototype bundles the unit vectors of its texts, and a
 text goes to the prototype of the largest cosine. Prototypes are learned from all labelled texts
@@ -17,23 +17,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import held_out
+from factorspark.llm.common import held_out, nameless
 
 DIM, GRAM, SEED = 1024, 3, 7
 UNKNOWN = "und"
-#: Code points are dealt into this many letters; the blank is letter 0.
-LETTERS = 509
+#: Letters whose vectors a task keeps; of more it draws them again when they are met.
+KEPT = 4096
+#: Noise of a cosine is 1 / sqrt(DIM); a language counts as told from so many times that on (many n-grams), or
+#: from less, in proportion, where a text has few of them.
+SURE, FEW = 3.0, 48
 
 
-@cache
-def _letters() -> np.ndarray:
-    """GRAM x LETTERS x DIM signs: the letters' vectors, permuted for each place."""
-    base = np.random.default_rng(SEED).integers(0, 2, (LETTERS, DIM), np.int8) * np.int8(2) - np.int8(1)
-    return np.stack([np.roll(base, k, axis=1) for k in range(GRAM)])
+class _Letters:
+    """Vectors of letters by code point, permuted for each place; drawn when first met."""
+
+    def __init__(self) -> None:
+        self.row = np.full(0x110000, -1, np.int32)
+        self.signs = np.empty((GRAM, 0, DIM), np.int8)
+
+    def of(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(GRAM x rows x DIM signs, row of each of the distinct ``points``)."""
+        new = points[self.row[points] < 0]
+        if len(new):
+            if self.signs.shape[1] + len(new) > KEPT:
+                self.__init__()
+                new = points
+            base = _draw(new)
+            self.row[new] = np.arange(len(new), dtype=np.int32) + self.signs.shape[1]
+            self.signs = np.concatenate((self.signs, np.stack([np.roll(base, k, axis=1) for k in range(GRAM)])), axis=1)
+        return self.signs, self.row[points]
+
+
+def _draw(points: np.ndarray) -> np.ndarray:
+    """DIM signs for each code point: a 64-bit mixing function of point, word and seed, a bit a sign."""
+    x = points.astype(np.uint64)[:, None] * np.uint64(DIM // 64) + np.arange(DIM // 64, dtype=np.uint64) + np.uint64(SEED << 40)
+    for mult in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(mult)
+        x ^= x >> np.uint64(31)
+    bits = np.unpackbits(x.view(np.uint8).reshape(len(points), -1), axis=1)
+    return bits.astype(np.int8) * np.int8(2) - np.int8(1)
+
+
+_LETTERS = cache(_Letters)
 
 
 def _codes(text: str) -> np.ndarray:
-    """Letters of a text as small numbers; runs of anything else become one blank (0)."""
+    """Letters of a text as code points; runs of anything else become one blank (0)."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     table = _is_letter()
     known = np.where(points < len(table), table[np.minimum(points, len(table) - 1)], 2)
@@ -42,7 +71,7 @@ def _codes(text: str) -> np.ndarray:
         known[odd] = [chr(c).isalpha() for c in points[odd].tolist()]
     letter = known == 1
     keep = letter | np.concatenate(([True], letter[:-1]))
-    out = np.where(letter, points % (LETTERS - 1) + 1, 0)[keep].astype(np.int64)
+    out = np.where(letter, points, 0)[keep].astype(np.int64)
     return out
 
 
@@ -53,29 +82,41 @@ def _is_letter() -> np.ndarray:
 
 def profile(text: str | None) -> np.ndarray | None:
     """The bundle of a text's n-grams, of unit length; None without a letter."""
+    return _profile(text)[0]
+
+
+def _profile(text: str | None) -> tuple[np.ndarray | None, int]:
+    """The profile and the number of distinct n-grams."""
     if not text:
-        return None
+        return None, 0
     codes = _codes(text)
     if not codes.any():
-        return None
+        return None, 0
     codes = np.concatenate(([0], codes[1:] if codes[0] == 0 else codes, [] if codes[-1] == 0 else [0])).astype(np.int64)
     if len(codes) < GRAM:
         codes = np.concatenate((codes, np.zeros(GRAM - len(codes), np.int64)))
-    n = len(codes) - GRAM + 1
+    # the text's own alphabet numbers its letters, so that n-grams of any script fit one integer
+    alphabet, codes = np.unique(codes, return_inverse=True)
+    n, size = len(codes) - GRAM + 1, len(alphabet)
     grams = codes[:n].copy()
     for k in range(1, GRAM):
-        grams = grams * LETTERS + codes[k : k + n]
+        grams = grams * size + codes[k : k + n]
     ids, counts = np.unique(grams, return_counts=True)
-    letters, total = _letters(), np.zeros(DIM, np.float32)
-    for at in range(0, len(ids), 4096):
-        part = ids[at : at + 4096]
-        bound = letters[GRAM - 1][part % LETTERS]
-        for k in range(GRAM - 2, -1, -1):
-            part = part // LETTERS
-            bound = bound * letters[k][part % LETTERS]
-        total += counts[at : at + 4096].astype(np.float32) @ bound.astype(np.float32)
+    total = np.zeros(DIM, np.float32)
+    for at in range(0, len(ids), 1024):
+        part, places = ids[at : at + 1024], []
+        for _ in range(GRAM):
+            places.append(part % size)
+            part = part // size
+        met, inverse = np.unique(np.concatenate(places), return_inverse=True)  # at most 1024 * GRAM letters
+        letters, row = _LETTERS().of(alphabet[met])
+        of = row[inverse].reshape(GRAM, -1)
+        bound = letters[GRAM - 1][of[0]]
+        for k in range(1, GRAM):
+            bound = bound * letters[GRAM - 1 - k][of[k]]
+        total += counts[at : at + 1024].astype(np.float32) @ bound.astype(np.float32)
     norm = float(np.sqrt(np.dot(total, total)))
-    return total / norm if norm else None
+    return (total / norm if norm else None), len(ids)
 
 
 def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
@@ -107,7 +148,7 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
 
 
 def classify(docs: DataFrame, protos: dict[str, np.ndarray], *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with lang_pred and score (the cosine, cut to 0..1).
+    """``keep`` columns with lang_pred, score (the cosine, cut to 0..1) and grams, the number of distinct n-grams.
 
     Defined cases: null text or no letter: ``und`` with score 0, as for every text where no
     prototype was learned; ties: the first language by code point; very long texts are read whole;
@@ -118,9 +159,10 @@ def classify(docs: DataFrame, protos: dict[str, np.ndarray], *, keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = [], []
+            langs, scores, sizes = [], [], []
             for t in b.column(b.num_columns - 1):
-                v = profile(t.as_py()) if names else None
+                v, n = _profile(t.as_py()) if names else (None, 0)
+                sizes.append(n)
                 if v is None:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
@@ -129,13 +171,13 @@ def classify(docs: DataFrame, protos: dict[str, np.ndarray], *, keep: tuple[str,
                 k = int(cos.argmax())
                 langs.append(names[k])
                 scores.append(min(1.0, max(0.0, round(float(cos[k]), 6))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=pa.schema(
-                [*list(b.schema)[:-1], pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], schema=pa.schema(
+                [*list(b.schema)[:-1], pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), pa.field("grams", pa.int64())]))
 
     cols = [F.col(f"`{c}`") for c in keep]
     src = docs.select(*cols, F.col("text").cast("string").alias("_text_read"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, f"{types}, lang_pred string, score double")
+    return src.mapInArrow(run, f"{types}, lang_pred string, score double, grams long")
 
 
 def identify(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -143,7 +185,15 @@ def identify(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFra
     return classify(docs, prototypes(docs.filter(~held_out(F.col("doc_id")))), keep=keep)
 
 
-def keep_identified(docs: DataFrame, *, least: float = 0.02) -> DataFrame:
-    """``docs`` without the rows whose language can't be told: no letter, or a cosine under ``least``."""
-    named = identify(docs.select(*docs.columns), keep=tuple(docs.columns))
-    return named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))
+def keep_identified(docs: DataFrame, *, sure: float = SURE) -> DataFrame:
+    """``docs`` without the rows whose language can't be told: no letter, or a cosine within the code's noise.
+
+    The level is ``sure`` standard deviations of the noise (1 / sqrt(DIM)) for a text of many
+    distinct n-grams and grows towards it with their number, so that a short text stays.
+    """
+    own, columns, to = nameless(docs)
+    asked = own.withColumnsRenamed({to[c]: c for c in ("doc_id", "text", "lang")})
+    names = asked.columns
+    level = F.lit(sure / DIM**0.5) * F.col("grams") / (F.col("grams") + FEW)
+    named = identify(asked, keep=tuple(names))
+    return named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= level)).select(*(F.col(c) for c in names)).toDF(*columns)
