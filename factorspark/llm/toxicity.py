@@ -1,15 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Transducers read a text clause by clause and rewrite its tokens into classes: insult (learned
-words and word beginnings, weighted by log odds), threat, target, negation and reported speech.
-A clause automaton composes them: its states carry what was seen so far, an insult or threat
-emits its weight, a target in the same clause raises it, a negation before it or reported speech
-around it lowers it. A document's score is a logistic curve over its summed clause weights, fitted
-on the learning rows.
+A lexical transducer rewrites a clause's tokens into symbols: insult (learned words and word
+beginnings, weighted by log odds), threat, target, negation, contrast, reported speech, other.
+Small transducers, each an arc table, read the symbols:
+
+* negation: from a negation to the clause's end or a contrast, insults and threats come out negated;
+* target: whether a target stands anywhere in the clause, before or after;
+* report: whether reported speech stands anywhere in the clause;
+* clause: collects the weights of insults and threats along its path.
+
+They are composed once into one clause automaton. An arc multiplies its token's weight, a final
+state multiplies what the path has collected: an insult counts for more with a target, a threat
+for nothing without one, and everything for less in reported speech. A document's score is a
+logistic curve over the summed weights of its matched clauses, fitted on the learning rows; a text
+without a matched clause has the score of an empty one.
 
 The insult lexicon is learned: ``SAMPLE`` labelled documents (a bounded sample by hash of the id)
 give, for every word and word beginning, in how many toxic and other documents it occurs; what is
-frequent and lopsided enough is kept, at most ``LEXICON`` entries.
+frequent and lopsided enough is kept.
 """
 
 from __future__ import annotations
@@ -28,19 +36,70 @@ from factorspark.llm.common import held_out
 
 #: At most about so many labelled documents are learned from.
 SAMPLE = 20_000
-LEXICON, MIN_DOCS, MIN_ODDS, THRESHOLD = 4000, 3, 2.0, 0.3
+MIN_DOCS, MIN_ODDS, THRESHOLD = 3, 2.0, 0.3
+#: A word is an insult if chance would put it into so many toxic documents with a smaller probability than this.
+CHANCE = 1e-3
 STEMS = (4, 5, 6, 7)
 
 # Fixed word lists of the grammar, in English, German, French and Spanish.
-THREAT = frozenset("kill hurt destroy punch töten schlagen vernichten tuer frapper détruire matar golpear destruir".split())
+THREAT = frozenset(
+    "kill killing hurt destroy punch stab beat strangle shoot murder burn crush töten umbringen schlagen vernichten erschießen verprügeln erwürgen "
+    "tuer frapper détruire poignarder étrangler abattre écraser matar golpear destruir apuñalar estrangular disparar aplastar".split())
 TARGET = frozenset("you your you're he she they him her them du dich dein ihr euch er sie tu toi ton vous votre il elle ils tú te tus usted ustedes él ella ellos".split())
 NEGATION = frozenset("not no never isn't aren't nicht kein keine nie ne pas jamais nunca ni sin".split())
+CONTRAST = frozenset("but however though aber sondern jedoch mais cependant pero sino".split())
 REPORTED = frozenset("said says wrote quoted called reported sagte schrieb nannte dit écrit cité dijo escribió citó".split())
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-#: Factors of the clause automaton, and how far (in tokens) a negation reaches.
-RAISED, NEGATED, QUOTED, REACH = 1.25, 0.4, 0.6, 3
+#: Weights of the automaton: an insult's arc with and without a negation, final factors of a target and of a report,
+#: and what a threat weighs (an insult weighs its log odds, seldom over 6).
+NEGATED, RAISED, QUOTED, THREAT_WEIGHT = 0.3, 1.6, 0.5, 8.0
+
+# Symbols of the tape. The negation transducer writes the last two.
+INSULT, THREATENS, TARGETS, NEGATES, TURNS, REPORTS, OTHER, NOT_INSULT, NOT_THREAT = range(9)
+_READ = (INSULT, THREATENS, TARGETS, NEGATES, TURNS, REPORTS, OTHER)
+
+# Arc tables: (state, symbol) -> (next state, symbol written). What is not listed stays and copies; 0 is the start.
+NEGATION_ARCS = {
+    (0, NEGATES): (1, OTHER), (1, NEGATES): (1, OTHER), (1, TURNS): (0, TURNS), (1, INSULT): (1, NOT_INSULT), (1, THREATENS): (1, NOT_THREAT),
+}
+TARGET_ARCS = {(0, TARGETS): (1, TARGETS)}
+REPORT_ARCS = {(0, REPORTS): (1, REPORTS)}
+# The clause transducer's arcs weigh: symbol -> (into the insult sum, into the threat sum), times the token's weight.
+CLAUSE_WEIGHTS = {INSULT: (1.0, 0.0), NOT_INSULT: (NEGATED, 0.0), THREATENS: (0.0, 1.0), NOT_THREAT: (0.0, NEGATED)}
+
+
+def compose(*tables: dict) -> tuple[dict, list[tuple[int, ...]]]:
+    """(arcs, states) of transducers run one on the other's output: arcs[state, symbol] = (next state, symbol written).
+
+    ``states`` holds the parts' states of every state that the start reaches.
+    """
+    states, arcs = [(0,) * len(tables)], {}
+    for number, parts in enumerate(states):
+        for symbol in _READ:
+            after, written = [], symbol
+            for table, part in zip(tables, parts, strict=True):
+                to, written = table.get((part, written), (part, written))
+                after.append(to)
+            if tuple(after) not in states:
+                states.append(tuple(after))
+            arcs[number, symbol] = (states.index(tuple(after)), written)
+    return arcs, states
+
+
+def _automaton() -> tuple[list[list[tuple[int, float, float]]], list[tuple[float, float]]]:
+    """The composed grammar: per state and symbol (next, insult weight, threat weight), and a state's final factors."""
+    arcs, states = compose(NEGATION_ARCS, TARGET_ARCS, REPORT_ARCS)
+    table = [[(arcs[s, x][0], *CLAUSE_WEIGHTS.get(arcs[s, x][1], (0.0, 0.0))) for x in _READ] for s in range(len(states))]
+    final = []
+    for _, target, report in states:
+        quoted = QUOTED if report else 1.0
+        final.append((quoted * (RAISED if target else 1.0), quoted if target else 0.0))
+    return table, final
+
+
+ARCS, FINAL = _automaton()
 
 
 def tokens(text: str) -> list[str]:
@@ -56,14 +115,14 @@ def features(text: str) -> set[str]:
 
 
 class Grammar:
-    """The composed transducers with learned insult weights and the fitted curve."""
+    """The composed automaton with learned insult weights and the fitted curve."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], curve: tuple[float, float] = (-3.0, 1.5)) -> None:
         self.words, self.stems, self.curve = words, stems, curve
-        self.cache: dict[str, float] = {}
+        self.cache: dict[str, tuple[int, float]] = {}
 
     def insult(self, token: str) -> float:
-        """Weight of the insult transducer's path for a token; 0 if it has none."""
+        """Weight of the lexicon's path for a token; 0 if it has none."""
         if (w := self.words.get(token)) is not None:
             return w
         for n in reversed(STEMS):
@@ -71,39 +130,38 @@ class Grammar:
                 return w
         return 0.0
 
-    def weight(self, token: str) -> float:
-        if (w := self.cache.get(token)) is None:
-            w = self.insult(token)
+    def read(self, token: str) -> tuple[int, float]:
+        """The lexical transducer: (symbol, weight) of a token; the fixed lists come before learned words."""
+        if (got := self.cache.get(token)) is None:
+            got = next(((s, 1.0) for s, known in ((NEGATES, NEGATION), (TARGETS, TARGET), (REPORTS, REPORTED), (TURNS, CONTRAST)) if token in known), None)
+            if got is None and token in THREAT:
+                got = (THREATENS, THREAT_WEIGHT)
+            if got is None:
+                w = self.insult(token)
+                got = (INSULT, w) if w else (OTHER, 0.0)
             if len(self.cache) < 200_000:
-                self.cache[token] = w
-        return w
+                self.cache[token] = got
+        return got
 
     def clause(self, toks: list[str]) -> float:
-        """One run of the clause automaton."""
-        total, threat, negated, quoted, targeted = 0.0, 0.0, 0, 1.0, 1.0
+        """One run of the automaton."""
+        state, insults, threats = 0, 0.0, 0.0
         for t in toks:
-            negated -= negated > 0
-            if t in NEGATION:
-                negated = REACH
-            elif t in REPORTED:
-                quoted = QUOTED
-            elif t in TARGET:
-                targeted = RAISED
-            w, damped = self.weight(t), NEGATED if negated else 1.0
-            total += w * damped
-            if not w and t in THREAT:
-                threat += damped
-        # a threat counts if its target stands anywhere in the clause
-        return (total + (threat if targeted > 1 else 0.0)) * quoted * targeted
+            symbol, weight = self.read(t)
+            state, a, b = ARCS[state][symbol]
+            insults += a * weight
+            threats += b * weight
+        return FINAL[state][0] * insults + FINAL[state][1] * threats
 
     def raw(self, text: str | None) -> float:
-        """Summed weight of the matched clauses per log of the length, 0 where nothing matches."""
+        """Log of one plus the summed weights of the matched clauses, 0 where nothing matches."""
         if not text:
             return 0.0
-        total = 0.0
+        total, cache, read = 0.0, self.cache, self.read
         for part in _CLAUSE.split(text):
             toks = tokens(part)
-            if toks and any(self.weight(t) or t in THREAT for t in toks):
+            # only a clause with an insult or a threat can match
+            if any((cache.get(t) or read(t))[0] <= THREATENS for t in toks):
                 total += self.clause(toks)
         return math.log1p(total)
 
@@ -112,6 +170,15 @@ class Grammar:
         return 1.0 / (1.0 + math.exp(-(a + b * self.raw(text))))
 
 
+def _tail(p: int, n: int, share: float) -> float:
+    """Probability that of ``p + n`` documents at least ``p`` are toxic if each is with probability ``share``."""
+    if not 0 < share < 1:
+        return float(share >= 1)
+    m = p + n
+    logs = (math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) + k * math.log(share) + (m - k) * math.log1p(-share) for k in range(p, m + 1))
+    return sum(math.exp(x) for x in logs)
+
+
 def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Logistic regression on one feature by Newton steps with a little ridge."""
     a, b = -3.0, 1.0
@@ -140,7 +207,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, size: int = SAMPLE) -> DataFra
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, size: int = SAMPLE) -> Grammar:
-    """The grammar for a corpus. The driver gets one lexicon of bounded size and one histogram."""
+    """The grammar for a corpus. The driver gets the lexicon of a bounded sample and one histogram."""
     rows = sample(docs, labels, size=size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +231,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, size: int = SAMPLE) -> Grammar:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([0] * len(part), pa.int64()), pa.array([neg[k] for k in part], pa.int64())], names=["f", "p", "n"])
 
     total = rows.mapInArrow(count, "f string, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    total = total.filter((F.col("f") == "") | ((F.col("p") >= MIN_DOCS) & (F.col("p") > 2 * F.col("n")))).orderBy(F.col("f") != "", F.col("p").desc(), "f").limit(LEXICON + 1)
+    total = total.filter((F.col("f") == "") | ((F.col("p") >= MIN_DOCS) & (F.col("p") > 2 * F.col("n"))))
     got = {r["f"]: (r["p"], r["n"]) for r in total.collect()}
     n_pos, n_neg = got.pop("", (0, 0))
     words, stems = {}, {}
     for f, (p, n) in got.items():
         odds = math.log((p + 0.5) / (n_pos + 1)) - math.log((n + 0.5) / (n_neg + 1))
-        if odds >= MIN_ODDS:
+        if odds >= MIN_ODDS and _tail(p, n, n_pos / (n_pos + n_neg)) < CHANCE:
             (stems if f[-1] == "*" else words)[f.rstrip("*")] = odds
     grammar = Grammar(words, stems)
 
@@ -181,7 +248,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, size: int = SAMPLE) -> Grammar:
 
     # a histogram of log weights: a few hundred bins at most
     bins = rows.mapInArrow(score, "x double, y int").groupBy("x").agg(F.sum(F.col("y").cast("double")).alias("p"), F.count("*").alias("n")).collect()
-    if bins and words or stems:
+    if bins and (words or stems):
         x = np.repeat([r["x"] for r in bins], 2)
         y = np.tile([1.0, 0.0], len(bins))
         w = np.array([v for r in bins for v in (r["p"], r["n"] - r["p"])])
