@@ -10,14 +10,17 @@ are exactly the repeated strings. The digits:
    about one per 39 bytes.
 2. The context: all bytes that the run's windows cover, and the anchor's place in them. Runs of equal
    context are equal window by window, so all but the first are repeated from end to end.
-3. The window's full depth, only for first runs whose anchor has several contexts. Their contexts
-   (some 140 bytes each) are sent by anchor and their windows sorted there; of an anchor with more
-   than ``HOT`` of them the windows themselves are sent, dealt by their own hash.
+3. The bytes. First runs whose anchor has several contexts are sent by anchor with their bytes (some
+   140 each), and the suffixes that start their windows are ordered by most-significant-digit
+   passes over ``DIGIT`` bytes at a time: a pass sorts what the ones before left undecided, a suffix
+   alone in its group is decided, and what is still together after ``WIDTH`` bytes is repeated.
+   Of an anchor with more than ``HOT`` contexts the windows themselves are dealt by a digest.
 
 Before a shuffle every task settles its own repeats: of equal runs it hands on the first, and an
 anchor with several contexts in one task goes straight to the third digit, with one marker row to
 tell the other tasks. So a group has at most a few rows per task, however many copies there are.
-Digits are compared as independent 64-bit hashes of the bytes (128 bits over two digits).
+What crosses a shuffle without its bytes (second digit, windows of hot anchors) is compared by
+128-bit digests; a row for every suffix with its bytes would be over 20 times the input.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from factorspark.llm.common import kept_table
 
-WIDTH, GRAM = 100, 24
+WIDTH, GRAM, DIGIT = 100, 24, 8
 #: Contexts of one anchor that a task may hold at a time.
 HOT = 8000
 #: A task settles repeats among about so many runs at a time.
@@ -66,7 +69,13 @@ class _Power:
         return self.up[:n], self.down[:n]
 
 
-_A, _B = _Power(int(_P)), _Power(0xC2B2AE3D27D4EB4F)
+_A = _Power(int(_P))
+
+
+def _digests(parts: Iterator[bytes]) -> np.ndarray:
+    """128-bit digests as rows of two signed numbers."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(x) for x in parts]), np.int64).reshape(-1, 2)
 
 
 def _rolling(data: np.ndarray, width: int, power: _Power) -> np.ndarray:
@@ -96,11 +105,11 @@ def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(raw: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, context hash, first start, number of windows) of a text's runs of windows."""
+    """(anchor hash, context digest, first start, number of windows) of a text's runs of windows."""
     n = len(raw) - width + 1
     if n <= 0:
         e = np.empty(0, np.int64)
-        return e, e, e, e
+        return e, e.reshape(0, 2), e, e
     data = np.frombuffer(raw, np.uint8)
     h = _rolling(data, gram, _A)
     at = np.arange(len(h), dtype=np.uint64)
@@ -109,11 +118,9 @@ def runs(raw: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray,
     first = np.concatenate(([0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1))
     count = np.diff(np.concatenate((first, [n])))
     anchor = anchor[first]
-    digest, view = xxhash.xxh3_64_intdigest, memoryview(raw)
-    ctx = np.fromiter(
-        (digest(view[s : s + c + width - 1], a - s) for s, c, a in zip(first.tolist(), count.tolist(), anchor.tolist(), strict=True)), np.uint64, len(first)
-    )
-    return h[anchor].view(np.int64), ctx.view(np.int64), first, count
+    digest, view = xxhash.xxh3_128_digest, memoryview(raw)
+    ctx = b"".join([digest(view[s : s + c + width - 1], a - s) for s, c, a in zip(first.tolist(), count.tolist(), anchor.tolist(), strict=True)])
+    return h[anchor].view(np.int64), np.frombuffer(ctx, np.int64).reshape(-1, 2), first, count
 
 
 def _pack(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -127,36 +134,35 @@ def _row_hash(raw: bytes) -> int:
 
 
 #: kind of a row: 0 to be compared by anchor; 1 repeated; 2 to go on to the third digit; 3 marker.
-_RUN_SCHEMA = "kind int, a long, c long, doc long, row long, at long"
-_NAMES = ["kind", "a", "c", "doc", "row", "at"]
+_RUN_SCHEMA = "kind int, a long, c long, c2 long, doc long, row long, at long"
+_NAMES = ["kind", "a", "c", "c2", "doc", "row", "at"]
 
 
-def _emit(kind: np.ndarray | int, a: np.ndarray, c: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _emit(kind: np.ndarray | int, a: np.ndarray, c: np.ndarray, c2: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
     kinds = np.full(len(a), kind, np.int32) if isinstance(kind, int) else kind.astype(np.int32)
     for k in range(0, len(a), _OUT):
         s = slice(k, k + _OUT)
-        yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (kinds, a, c, doc, row, at)], names=_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (kinds, a, c, c2, doc, row, at)], names=_NAMES)
 
 
-def _settle(a: np.ndarray, c: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _settle(a: np.ndarray, c: np.ndarray, c2: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
     """What a task can tell on its own about its runs."""
-    order = np.lexsort((at, row, doc, c, a))
-    a, c, doc, row, at = a[order], c[order], doc[order], row[order], at[order]
+    order = np.lexsort((at, row, doc, c2, c, a))
+    cols = a, c, c2, doc, row, at = tuple(x[order] for x in (a, c, c2, doc, row, at))
     new_a = np.concatenate(([True], a[1:] != a[:-1]))
-    new_c = new_a | np.concatenate(([True], c[1:] != c[:-1]))
+    new_c = new_a | np.concatenate(([True], (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])))
     lead = np.flatnonzero(new_c)
     of = np.cumsum(new_c) - 1
     # equal rows of a repeated document tie with the first and stay with it
     tie = (doc == doc[lead[of]]) & (row == row[lead[of]]) & (at == at[lead[of]])
-    yield from _emit(1, a[~tie], c[~tie], doc[~tie], row[~tie], at[~tie])
+    yield from _emit(1, *(x[~tie] for x in cols))
     n_ctx = np.bincount((np.cumsum(new_a) - 1)[lead])
     many = n_ctx[np.cumsum(new_a) - 1] > 1
-    one, on = lead[~many[lead]], lead[many[lead]]
-    yield from _emit(0, a[one], c[one], doc[one], row[one], at[one])
-    yield from _emit(2, a[on], c[on], doc[on], row[on], at[on])
+    yield from _emit(0, *(x[lead[~many[lead]]] for x in cols))
+    yield from _emit(2, *(x[lead[many[lead]]] for x in cols))
     mark = np.flatnonzero(new_a & many)
     zero = np.zeros(len(mark), np.int64)
-    yield from _emit(3, a[mark], zero, zero, zero, zero)
+    yield from _emit(3, a[mark], zero, zero, zero, zero, zero)
 
 
 def _first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +172,7 @@ def _first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
             a, c, first, count = runs(raw)
             if len(a):
-                held.append((a, c, np.full(len(a), _FAR if doc is None else doc, np.int64), np.full(len(a), _row_hash(raw), np.int64), _pack(first, count)))
+                held.append((a, c[:, 0], c[:, 1], np.full(len(a), _FAR if doc is None else doc, np.int64), np.full(len(a), _row_hash(raw), np.int64), _pack(first, count)))
                 size += len(a)
         if size >= BATCH:
             yield from _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -176,10 +182,10 @@ def _first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _second_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (a, c, doc, row, at), a whole anchor to a task; kinds 1 and 2 pass through."""
+    """Rows come sorted by (a, c, c2, doc, row, at), a whole anchor to a task; kinds 1 and 2 pass through."""
     # the last row seen, the first row of its context, and an anchor's first context while it is the only one
     last_a = last_c = lead = None
-    pending: list[tuple[int, int, int, int, int]] = []
+    pending: list[tuple[int, ...]] = []
     several = False
     out: list[list[int]] = []
 
@@ -195,13 +201,13 @@ def _second_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         through = (kind == 1) | (kind == 2)
         if through.any():
             yield from _emit(kind[through], *(x[through] for x in cols[1:]))
-        k, a, c, doc, row, at = (x[~through] for x in cols)
+        k, a, c, c2, doc, row, at = (x[~through] for x in cols)
         if not len(a):
             continue
         # an anchor with one row, inside the batch, needs nothing: only the others are walked
         alone = np.concatenate(([a[0] != last_a], a[1:] != a[:-1])) & np.concatenate((a[1:] != a[:-1], [False]))
         walk = np.flatnonzero(~alone)
-        for kk, aa, cc, dd, rr, tt in zip(*(x[walk].tolist() for x in (k, a, c, doc, row, at)), strict=True):
+        for kk, aa, cc, c3, dd, rr, tt in zip(*(x[walk].tolist() for x in (k, a, c, c2, doc, row, at)), strict=True):
             if aa != last_a:
                 last_a, last_c, lead, several, pending = aa, None, None, False, []
             if kk == 3:
@@ -209,18 +215,18 @@ def _second_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 out.extend([2, *p] for p in pending)
                 pending = []
                 continue
-            if cc != last_c:
+            if (cc, c3) != last_c:
                 if last_c is not None:
                     several = True
-                last_c, lead = cc, (dd, rr, tt)
+                last_c, lead = (cc, c3), (dd, rr, tt)
             if (dd, rr, tt) != lead:
-                out.append([1, aa, cc, dd, rr, tt])
+                out.append([1, aa, cc, c3, dd, rr, tt])
             elif several:
                 out.extend([2, *p] for p in pending)
                 pending = []
-                out.append([2, aa, cc, dd, rr, tt])
+                out.append([2, aa, cc, c3, dd, rr, tt])
             else:
-                pending.append((aa, cc, dd, rr, tt))
+                pending.append((aa, cc, c3, dd, rr, tt))
         if len(out) >= _OUT:
             yield from done()
     yield from done()
@@ -240,28 +246,28 @@ def _release(z: pa.Scalar, unpack: zstandard.ZstdDecompressor) -> bytes:
     return unpack.decompress(z.as_py())
 
 
-_DEEP_SCHEMA = "a long, w long, doc long, row long, at long, ctx binary"
-_DEEP = ["a", "w", "doc", "row", "at", "ctx"]
+_DEEP_SCHEMA = "a long, w long, w2 long, doc long, row long, at long, ctx binary"
+_DEEP = ["a", "w", "w2", "doc", "row", "at", "ctx"]
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, w, doc, row, at, ctx) of the runs that need the third digit: the context, or for hot anchors one
-    row a window with its hash; of equal windows of a hot anchor a task sends on the first and the
+    """(a, w, w2, doc, row, at, ctx) of the runs that need the third digit: the context, or for hot anchors one
+    row a window with its digest; of equal windows of a hot anchor a task sends on the first and the
     others as known repeats (a null)."""
     unpack, held, size = zstandard.ZstdDecompressor(), [], 0
 
     def settle() -> Iterator[pa.RecordBatch]:
-        a, w, doc, row, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((at, row, doc, w, a))
-        a, w, doc, row, at = a[order], w[order], doc[order], row[order], at[order]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1])))
+        a, w, w2, doc, row, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((at, row, doc, w2, w, a))
+        a, w, w2, doc, row, at = (x[order] for x in (a, w, w2, doc, row, at))
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1]) | (w2[1:] != w2[:-1])))
         of = np.flatnonzero(new)[np.cumsum(new) - 1]
         known = (doc != doc[of]) | (row != row[of]) | (at != at[of])
         send = new | known
         for k in range(0, int(send.sum()), _OUT):
             i = np.flatnonzero(send)[k : k + _OUT]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a[i], pa.int64(), mask=known[i]), pa.array(w[i]), pa.array(doc[i]), pa.array(row[i]), pa.array(at[i]), pa.nulls(len(i), pa.binary())], names=_DEEP)
+                [pa.array(a[i], pa.int64(), mask=known[i]), *(pa.array(x[i]) for x in (w, w2, doc, row, at)), pa.nulls(len(i), pa.binary())], names=_DEEP)
 
     for b in batches:
         out: tuple[list, list, list, list, list] = ([], [], [], [], [])
@@ -278,12 +284,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if h.any():
                 start, count = start[h], count[h]
                 starts = np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-                w = _rolling(np.frombuffer(raw, np.uint8), WIDTH, _B)[starts].view(np.int64)
-                held.append((np.repeat(a[h], count), w, np.full(len(starts), doc, np.int64), np.full(len(starts), row, np.int64), _pack(starts, np.ones(len(starts), np.int64))))
+                w = _digests(raw[x : x + WIDTH] for x in starts.tolist())
+                one = np.ones(len(starts), np.int64)
+                held.append((np.repeat(a[h], count), w[:, 0], w[:, 1], doc * one, row * one, _pack(starts, one)))
                 size += len(starts)
         if out[0]:
             n = len(out[0])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(np.zeros(n, np.int64)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=_DEEP)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int64)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=_DEEP)
         if size >= BATCH:
             yield from settle()
             held, size = [], 0
@@ -291,53 +298,69 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle()
 
 
-def _repeats(w: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which windows are not the first of their hash; ties with the first stay."""
-    order = np.lexsort((at, row, doc, w))
-    ws = w[order]
-    new = np.concatenate(([True], ws[1:] != ws[:-1]))
-    of = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    out = np.zeros(len(w), bool)
-    out[order] = (doc[order] != doc[of]) | (row[order] != row[of]) | (at[order] != at[of])
-    return out
+def radix_groups(data: np.ndarray, start: np.ndarray, group: np.ndarray, width: int = WIDTH, digit: int = DIGIT) -> tuple[np.ndarray, np.ndarray]:
+    """(which, group): the suffixes of ``data`` at ``start`` that equal another of their ``group`` through ``width`` bytes.
 
-
-def _compare(doc: np.ndarray, row: np.ndarray, at: np.ndarray, ctx: list[bytes]) -> pa.RecordBatch:
+    Most significant digit first. ``which`` indexes ``start``, in the order of groups and bytes;
+    equal strings of one group have one number.
+    """
+    which = np.arange(len(start))
+    for at in range(0, width, digit):
+        value = np.zeros(len(which), np.uint64)
+        for k in range(min(digit, width - at)):
+            value = (value << np.uint64(8)) | data[start[which] + (at + k)].astype(np.uint64)
+        order = np.lexsort((value, group))
+        which, value, group = which[order], value[order], group[order]
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (value[1:] != value[:-1])))[: len(which)]
+        group = np.cumsum(new) - 1
+        undecided = np.bincount(group, minlength=1)[group] > 1
+        which, group = which[undecided], group[undecided]
+        if not len(which):
+            break
+    return which, group
+
+
+def _compare(anchor: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, ctx: list[bytes]) -> pa.RecordBatch:
     """Repeated windows of whole anchors' contexts, as runs; equal windows share their anchor."""
     count = at & 127
     size = np.fromiter(map(len, ctx), np.int64, len(ctx))
     base = np.concatenate(([0], np.cumsum(size)[:-1]))
     inside = np.arange(count.sum()) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)
-    w = _rolling(np.frombuffer(b"".join(ctx), np.uint8), WIDTH, _B)[np.repeat(base, count) + inside]
-    wdoc, wrow, start = np.repeat(doc, count), np.repeat(row, count), np.repeat(at >> 7, count) + inside
-    wat = (start << 7) | 1
-    bad = np.flatnonzero(_repeats(w, wdoc, wrow, wat))
+    of = np.repeat(np.arange(len(at)), count)
+    which, group = radix_groups(np.frombuffer(b"".join(ctx), np.uint8), base[of] + inside, anchor[of])
+    wdoc, wrow, wat = doc[of], row[of], (((at >> 7)[of] + inside) << 7) | 1
+    order = np.lexsort((wat[which], wrow[which], wdoc[which], group))
+    which, group = which[order], group[order]
+    new = np.concatenate(([True], group[1:] != group[:-1]))[: len(which)]
+    lead = which[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    # ties with the first (rows of a repeated document) stay
+    bad = np.sort(which[(wdoc[which] != wdoc[lead]) | (wrow[which] != wrow[lead]) | (wat[which] != wat[lead])])
     if not len(bad):
         return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["doc", "row", "at"])
-    of = np.repeat(np.arange(len(at)), count)[bad]
-    cut_ = np.flatnonzero(np.concatenate(([True], (np.diff(bad) != 1) | (np.diff(of) != 0))))
+    cut_ = np.flatnonzero(np.concatenate(([True], (np.diff(bad) != 1) | (np.diff(of[bad]) != 0))))
     n = np.diff(np.concatenate((cut_, [len(bad)])))
     first = bad[cut_]
     return pa.RecordBatch.from_arrays([pa.array(wdoc[first]), pa.array(wrow[first]), pa.array((wat[first] & ~np.int64(127)) | n)], names=["doc", "row", "at"])
 
 
 def _third_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, row, at) of repeated windows. Rows come sorted by (a, w, doc, row, at): contexts of an anchor
+    """(doc, row, at) of repeated windows. Rows come sorted by (a, w, w2, doc, row, at): contexts of an anchor
     together, and each window of a hot one after its first."""
-    docs, rows, ats, ctxs, last = [], [], [], [], None
+    anchors, docs, rows, ats, ctxs, last = [], [], [], [], [], None
     key, lead = None, None
 
     def flush() -> Iterator[pa.RecordBatch]:
         if docs:
-            yield _compare(np.array(docs, np.int64), np.array(rows, np.int64), np.array(ats, np.int64), ctxs)
+            yield _compare(np.array(anchors, np.int64), np.array(docs, np.int64), np.array(rows, np.int64), np.array(ats, np.int64), ctxs)
+            anchors.clear()
             docs.clear()
             rows.clear()
             ats.clear()
             ctxs.clear()
 
     for b in batches:
-        whole = np.asarray(b.column(5).is_valid())
-        a, w, doc, row, at = b.column(0), *(np.asarray(x) for x in b.columns[1:5])
+        whole = np.asarray(b.column(6).is_valid())
+        a, w, w2, doc, row, at = b.column(0), *(np.asarray(x) for x in b.columns[1:6])
         known = ~np.asarray(a.is_valid())
         a = np.asarray(a.fill_null(0))
         for i in np.flatnonzero(whole).tolist():
@@ -345,14 +368,15 @@ def _third_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last = a[i]
                 if len(docs) >= 2 * HOT:
                     yield from flush()
+            anchors.append(int(a[i]))
             docs.append(int(doc[i]))
             rows.append(int(row[i]))
             ats.append(int(at[i]))
-            ctxs.append(b.column(5)[i].as_py())
+            ctxs.append(b.column(6)[i].as_py())
         bad = known.copy()
         for i in np.flatnonzero(~whole & ~known).tolist():
-            if (a[i], w[i]) != key:
-                key, lead = (a[i], w[i]), (doc[i], row[i], at[i])
+            if (a[i], w[i], w2[i]) != key:
+                key, lead = (a[i], w[i], w2[i]), (doc[i], row[i], at[i])
             bad[i] = (doc[i], row[i], at[i]) != lead
         if bad.any():
             yield pa.RecordBatch.from_arrays([pa.array(doc[bad]), pa.array(row[bad]), pa.array(at[bad])], names=["doc", "row", "at"])
@@ -402,7 +426,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # rows that only pass through are dealt by their place
     deal = F.when(F.col("kind").isin(1, 2), F.xxhash64("doc", "row", "at")).otherwise(F.col("a"))
-    dealt = rows.mapInArrow(_first_digits, _RUN_SCHEMA).repartition(deal).sortWithinPartitions("a", "c", "doc", "row", "at")
+    dealt = rows.mapInArrow(_first_digits, _RUN_SCHEMA).repartition(deal).sortWithinPartitions("a", "c", "c2", "doc", "row", "at")
     second = kept_table(dealt.mapInArrow(_second_digit, _RUN_SCHEMA).select("kind", "a", "doc", "row", "at"), "runs")
     hot = second.filter("kind = 2").groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("a", F.lit(True).alias("hot"))
     wanted = second.filter("kind = 2").join(hot, "a", "left").groupBy("doc", "row").agg(
@@ -411,8 +435,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     texts = rows.mapInArrow(_squeeze, "doc_id long, doc long, row long, z binary").repartition("doc", "row")
     todo = texts.join(wanted, ["doc", "row"]).select("doc_id", "doc", "row", "z", "as", "ats", "hots")
     deep = todo.mapInArrow(_contexts, _DEEP_SCHEMA)
-    spread = F.when(F.col("ctx").isNotNull(), F.col("a")).when(F.col("a").isNull(), F.xxhash64("doc", "row", "at")).otherwise(F.xxhash64("a", "w"))
-    deep = deep.repartition(spread).sortWithinPartitions("a", "w", "doc", "row", "at").mapInArrow(_third_digit, "doc long, row long, at long")
+    spread = F.when(F.col("ctx").isNotNull(), F.col("a")).when(F.col("a").isNull(), F.xxhash64("doc", "row", "at")).otherwise(F.xxhash64("a", "w", "w2"))
+    deep = deep.repartition(spread).sortWithinPartitions("a", "w", "w2", "doc", "row", "at").mapInArrow(_third_digit, "doc long, row long, at long")
     gone = second.filter("kind = 1").select("doc", "row", "at").unionByName(deep).groupBy("doc", "row").agg(F.collect_set("at").alias("ats"))
     whole = texts.join(gone, ["doc", "row"], "left").select("doc_id", "z", "ats")
     return whole.mapInArrow(_carve, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
