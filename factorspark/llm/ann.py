@@ -75,6 +75,11 @@ class Codes:
         return (rotated @ signs.T) * by, EPSILON * error + 1e-5
 
 
+def inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products added from the first component on, one order for every pair whatever block it comes from."""
+    return np.add.accumulate(x * y, axis=1)[:, -1]
+
+
 def search_block(x: np.ndarray, length: np.ndarray, codes: Codes, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of the pairs that may be among the ``k`` best of each query and reach its ``floor``.
 
@@ -107,13 +112,12 @@ def search_block(x: np.ndarray, length: np.ndarray, codes: Codes, q: np.ndarray,
                         below = below < (least - slack)[:, None]
                     scores[below] = -np.inf
                 else:
-                    scores = np.stack([(x * v).sum(axis=1) for v in q[part]])
+                    scores = np.stack([inner(x, v) for v in q[part]])
                     scores[np.isnan(scores)] = -np.inf
                     slack = np.zeros(len(part))
                 last = np.partition(scores, -k, axis=1)[:, -k] if len(x) > k else np.full(len(part), -np.inf)
                 i, j = np.nonzero(scores >= (last - slack)[:, None])
-                # one order of summing for every pair, whatever block it comes from
-                exact = np.concatenate([(x[j[s : s + 8192]] * q[part[i[s : s + 8192]]]).sum(axis=1) for s in range(0, len(i), 8192)] or [np.empty(0)])
+                exact = np.concatenate([inner(x[j[s : s + 8192]], q[part[i[s : s + 8192]]]) for s in range(0, len(i), 8192)] or [np.empty(0)])
                 reach = ~(exact < floor[part[i]])
                 out.append((part[i][reach], j[reach], exact[reach]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))

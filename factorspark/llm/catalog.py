@@ -37,9 +37,9 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per contaminated doc_id."""
+    """A row per contaminated document (distinct doc_id and text)."""
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.round(F.max("best"), 6).alias("best"))
+    return found.select("doc_id", "item_id", F.round("best", 6).alias("best"))
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,84 @@ FROM g LEFT JOIN h USING (conv_id)
 """
 
 
+
+# A host's rules and, for urls without one, the verdict of their aliases: links are edges, and a group is
+# what can be reached from one another.
+_OP2 = r"""
+WITH RECURSIVE u AS (SELECT page_id, url, html, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS a FROM pages),
+p AS (SELECT *, translate(regexp_extract(a, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(a, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(pos, verdict, rule) AS (VALUES (0, 'allow', 'org/'), (1, 'block', 'example.org/es/'), (2, 'allow', 'example.org/en/1'), (3, 'allow', 'com/fr/'), (4, 'block', 'com/de/')),
+tags AS (
+  SELECT url, unnest(list_concat(
+    list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical\b')),
+    list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')))) AS t FROM p WHERE url IS NOT NULL AND html IS NOT NULL),
+links AS (
+  SELECT url, replace(CASE WHEN t ILIKE '<link%' THEN regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) ELSE regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END, '&amp;', '&') AS l,
+    regexp_extract(url, '^([^:/?#]*):', 1) AS scheme, regexp_extract(url, '^[^:/?#]*://[^/?#]*') AS root, regexp_extract(url, '^[^:/?#]*://[^?#]*/') AS folder FROM tags),
+ends AS (
+  SELECT url AS x, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.\-]*://') THEN l WHEN l LIKE '//%' THEN scheme || ':' || l WHEN l LIKE '/%' THEN root || l
+    ELSE CASE WHEN length(folder) > length(root) THEN folder ELSE root || '/' END || l END AS y FROM links WHERE l <> ''),
+plain AS (
+  SELECT s, lower(regexp_extract(b, '^[^:/?#]*://[^/?#]*')) || substr(b, length(regexp_extract(b, '^[^:/?#]*://[^/?#]*')) + 1) AS node
+  FROM (SELECT s, regexp_replace(s, '#.*$', '') AS b FROM (SELECT url AS s FROM p WHERE url IS NOT NULL UNION SELECT y FROM ends))),
+edges AS (SELECT DISTINCT a.node AS x, b.node AS y FROM ends e JOIN plain a ON a.s = e.x JOIN plain b ON b.s = e.y WHERE a.node <> b.node),
+both_ways AS (SELECT x, y FROM edges UNION SELECT y, x FROM edges),
+reach AS (SELECT x, x AS y FROM both_ways UNION SELECT r.x, e.y FROM reach r JOIN both_ways e ON e.x = r.y),
+judged AS (
+  SELECT n.node, arg_max(verdict, (length(rule), -pos)) AS v FROM (
+    SELECT DISTINCT y AS node, lower(regexp_extract(substr(y, strpos(y, '://') + 3), '^[^/?#]*')) AS host, regexp_extract(substr(y, strpos(y, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS path FROM reach) n
+  JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY 1),
+groups AS (SELECT r.x AS node, bool_or(v = 'block') AND NOT bool_or(v = 'allow') AS blocked FROM reach r JOIN judged j ON j.node = r.y GROUP BY 1),
+best AS (
+  SELECT host, path, arg_max(rule, (length(rule), -pos)) AS rule, arg_max(verdict, (length(rule), -pos)) AS verdict FROM (SELECT DISTINCT host, path FROM p)
+  JOIN rules ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY 1, 2)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, CASE WHEN g.blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best b ON b.host = p.host AND b.path = p.path LEFT JOIN plain n ON n.s = p.url LEFT JOIN groups g ON g.node = n.node
+"""
+
+# Windows of 12 tokens (or a shorter item) with at most 2 (or 1, or no) tokens changed have one of their thirds
+# whole, in its place: thirds are joined, windows compared token by token.
+_OP5 = r"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM (SELECT DISTINCT doc_id, text FROM documents)),
+i AS (SELECT item_id, t, least(len(t), 12) AS n FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM benchmark) WHERE len(t) > 0),
+w AS (SELECT item_id, n, t[s : s + n - 1] AS w FROM (SELECT *, unnest(range(1, len(t) - n + 2)) AS s FROM i)),
+k AS (SELECT item_id, n, w, g, o, array_to_string(w[o + 1 : o + g], ' ') AS k FROM (
+  SELECT *, CASE WHEN n < 8 THEN n ELSE n // 3 END AS g, unnest(CASE WHEN n < 8 THEN [0] ELSE [0, n // 3, 2 * (n // 3)] END) AS o FROM w)),
+x AS (SELECT doc_id, text, t, g, p, array_to_string(t[p : p + g - 1], ' ') AS k FROM (
+  SELECT doc_id, text, t, g, unnest(range(1, len(t) - g + 2)) AS p FROM d, (SELECT DISTINCT g FROM k))),
+h AS (SELECT DISTINCT doc_id, text, item_id, n, w, p - o AS s FROM x JOIN k USING (g, k)),
+c AS (SELECT h.doc_id, h.text, h.item_id, h.n, len(list_filter(range(1, h.n + 1), lambda j: j + s - 1 > 0 AND d.t[j + s - 1] = w[j])) AS m
+  FROM h JOIN d ON d.doc_id IS NOT DISTINCT FROM h.doc_id AND d.text IS NOT DISTINCT FROM h.text)
+SELECT doc_id, min(item_id) AS item_id, round(max(m / n), 6) AS best FROM c WHERE m >= CASE WHEN n < 8 THEN n ELSE ceil(n * 0.8) END GROUP BY doc_id, text
+"""
+
+_OP6 = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0),
+f AS (SELECT * FROM v WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(c.v, q.v) AS score FROM f q JOIN f c ON c.r <> q.r AND len(c.v) = len(q.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+# Jump hashing with 128-bit products cut to 64 bits; a CRC a byte at a time over the table made by its rule.
+_OP8 = """
+WITH RECURSIVE bits AS (SELECT b AS i, CAST(b AS BIGINT) AS c, 0 AS k FROM range(256) t(b) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(tab.t[xor(c, b) % 256 + 1], c // 256)), 4294967295) AS crc,
+    coalesce(doc_id, 0)::HUGEINT + CASE WHEN doc_id < 0 THEN 18446744073709551616::HUGEINT ELSE 0::HUGEINT END AS key FROM documents, tab),
+j AS (
+  SELECT r, key, CAST(0 AS BIGINT) AS j, CAST(-1 AS BIGINT) AS b, CAST(-1 AS BIGINT) AS g FROM d
+  UNION ALL
+  SELECT r, nk, CAST(floor((j + 1) * (2147483648.0::DOUBLE / ((nk // 8589934592) + 1)::DOUBLE)) AS BIGINT), CASE WHEN j < 24 THEN j ELSE b END, j
+  FROM (SELECT *, ((key % 4294967296) * 2862933555777941757::HUGEINT + ((key // 4294967296) * 2862933555777941757::HUGEINT % 4294967296) * 4294967296 + 1) % 18446744073709551616::HUGEINT AS nk FROM j WHERE j < 25)),
+s AS (SELECT r, max(b) AS shard, max(g) AS grown FROM j GROUP BY 1),
+f AS (SELECT d.*, shard, grown, ((key % 4294967296) * 2862933555777941757::HUGEINT + ((key // 4294967296) * 2862933555777941757::HUGEINT % 4294967296) * 4294967296 + 1) % 18446744073709551616::HUGEINT // 4294967296 AS hi FROM d JOIN s USING (r))
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INT) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY CAST((hi + crc) % 4096 AS BIGINT), doc_id NULLS FIRST, crc, size) - 1 AS slot, CAST(grown AS INT) AS grown_shard FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL where it can say the same: fingerprints, draws, codes and trained models it can't."""
-    return {"op3_chat_format": _OP3}
+    """SQL where it can say the same: 64-bit hashes of shingles, hashed draws, byte windows at bearable cost and trained models it can't."""
+    return {"op2_url_filter": _OP2, "op3_chat_format": _OP3, "op5_decontaminate": _OP5, "op6_nearest": _OP6, "op8_sharding": _OP8}

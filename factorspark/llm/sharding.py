@@ -84,7 +84,7 @@ def shard(df: DataFrame, n_shards: int, *, key: str = "doc_id", text: str = "tex
 
     Law: ``key``. The shard depends on the key and ``n_shards`` only; equal texts under different
     keys may part. Slots number each shard's rows from 0 without a gap: rows fall into
-    sub-buckets by a hash of key and text, are numbered inside (by key, then CRC), and shifted by
+    sub-buckets by the generator's first number and the CRC, are numbered inside (by key, then CRC), and shifted by
     the counts of the sub-buckets before, a table of about ``BUCKETS`` rows (or ``n_shards``, if
     more; beyond 100,000 it is joined by a shuffle). So a task sorts sub-buckets, never a shard,
     and rows under one key part by their texts.
@@ -101,7 +101,9 @@ def shard(df: DataFrame, n_shards: int, *, key: str = "doc_id", text: str = "tex
     subs = max(1, BUCKETS // n_shards)
 
     def placed(x: DataFrame) -> DataFrame:
-        sub = F.pmod(F.xxhash64(F.coalesce(k.cast("long"), F.lit(0).cast("long")), F.col("text_crc32")), F.lit(subs))
+        whole = F.coalesce(k.cast("long"), F.lit(0).cast("long"))
+        hi, _ = _next(F.shiftrightunsigned(whole, 32), whole.bitwiseAND(F.lit(M32)))
+        sub = (hi + F.col("text_crc32")) % F.lit(subs)
         x = x.withColumn("text_crc32", F.coalesce(F.crc32(t), F.lit(0)).cast("long"))
         return x.withColumn("_j", jump_hash(k, n_shards)).select(*x.columns, sub.alias("sub"), F.col("_j.shard").alias("shard"), F.col("_j.grown").alias("grown_shard"))
 

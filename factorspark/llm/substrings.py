@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import kept_table
+from factorspark.llm.common import SMALL, kept_table
 
 WIDTH, GRAM, DIGIT = 100, 24, 8
 #: Contexts of one anchor that a task may hold at a time.
@@ -428,8 +428,10 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     deal = F.when(F.col("kind").isin(1, 2), F.xxhash64("doc", "row", "at")).otherwise(F.col("a"))
     dealt = rows.mapInArrow(_first_digits, _RUN_SCHEMA).repartition(deal).sortWithinPartitions("a", "c", "c2", "doc", "row", "at")
     second = kept_table(dealt.mapInArrow(_second_digit, _RUN_SCHEMA).select("kind", "a", "doc", "row", "at"), "runs")
-    hot = second.filter("kind = 2").groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("a", F.lit(True).alias("hot"))
-    wanted = second.filter("kind = 2").join(hot, "a", "left").groupBy("doc", "row").agg(
+    deep = second.filter("kind = 2")
+    hot = kept_table(deep.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("a", F.lit(True).alias("hot")), "hot")
+    hot = F.broadcast(hot) if hot.count() <= SMALL else hot
+    wanted = deep.join(hot, "a", "left").groupBy("doc", "row").agg(
         F.collect_list("a").alias("as"), F.collect_list("at").alias("ats"), F.collect_list(F.coalesce("hot", F.lit(False))).alias("hots"))
     # both joins read the texts from one shuffle
     texts = rows.mapInArrow(_squeeze, "doc_id long, doc long, row long, z binary").repartition("doc", "row")
