@@ -1,15 +1,18 @@
-"""Portfolio simulation: a fold over trading events, and daily marking as a join.
-
-When a leg fills depends on prices alone; only its size depends on the portfolio. So the plan works
-out event sessions first (rebalances, and the first priced session after a halt), runs one
-sequential fold per strategy over those rows only, and marks the resulting holdings to market
-with an equi-join and an aggregate over all sessions. Strategies run in parallel.
+"""Portfolio simulation: a schedule of fills, a ledger over it, and daily marking as joins.
+
+Which session a leg fills in depends on prices and schedule alone, so the plan settles it first: each
+leg looks forward to its ticker's next priced session (a window over legs and prices together).
+What never fills before the next rebalance is a skip row. Only sizes and cash depend on the
+portfolio: one sequential ledger per strategy walks the sessions with fills, as arrays over its
+names. Costs, turnover, positions, NAV and the exits among the skips follow from its trades by joins.
+Strategies run in parallel.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,13 +22,13 @@ from factorspark.lineage import cut
 from factorspark.operators.calendar import dense, forward_fill, sessions, snap_targets
 from factorspark.operators.costs import CostModel
 
+# The reasons of skip rows.
 NO_PRICE = "no price / halted"
 SUPERSEDED = "halted; superseded by next rebalance before it could fill"
 NEVER = "halted; never filled before end of data"
 #: Fewer shares than this count as none.
 SHARE_EPS = 1e-9
-_LOG = ("strategy string, kind string, date date, ord int, ticker string, shares double, price double, notional double, "
-        "commission double, slippage double, cost double, weight double, reason string, value double")
+_LEDGER = "strategy string, ord int, ticker string, shares double, price double, value double, cash double"
 
 
 @dataclass
@@ -49,73 +52,37 @@ class BacktestResult:
         return last.select("strategy", (F.col("_n") / F.lit(self.initial_capital) - 1).alias("total_return"))
 
 
-def _fold(pdf: pd.DataFrame, strategy: str, capital: float, model: CostModel, defer: bool, fractional: bool) -> pd.DataFrame:
-    """The ledger of one strategy over its event rows (ord, date, ticker, is_rebal, weight, px, mark)."""
-    cash, held, waiting, since, out = float(capital), {}, {}, {}, []
-
-    def log(kind: str, day, ord_: int, **x) -> None:
-        out.append({"strategy": strategy, "kind": kind, "date": day, "ord": ord_, **x})
-
-    for ord_, rows in pdf.groupby("ord", sort=True):
-        rows = rows.sort_values("ticker")
-        day = rows["date"].iloc[0]
-        px = {t: p for t, p in zip(rows["ticker"], rows["px"], strict=True) if p == p and p > 0}
-        mark = {t: m for t, m in zip(rows["ticker"], rows["mark"], strict=True) if m == m}
-        fresh = bool(rows["is_rebal"].iloc[0])
-        if fresh:
-            for t, w in waiting.items():
-                log("skip", since[t][0], since[t][1], ticker=t, weight=w, reason=SUPERSEDED)
-            waiting, since = {}, {}
-            legs = dict.fromkeys(held, 0.0) | {t: w for t, w in zip(rows["ticker"], rows["weight"], strict=True) if w == w}
-        elif waiting:
-            legs = dict(waiting)
-        else:
-            continue
-        before = cash + sum(n * mark[t] for t, n in held.items() if t in mark)
-        traded, n_trades, halted = 0.0, 0, {}
-        for t, w in legs.items():
-            have = held.get(t, 0.0)
-            if t not in px:
-                if w != 0 or abs(have) > SHARE_EPS:
-                    halted[t] = w
-                continue
-            want = w * before / px[t]
-            delta = (want if fractional else float(int(want))) - have
-            if abs(delta) <= SHARE_EPS:
-                continue
-            commission, slippage = model.commission(delta), model.slippage(delta, px[t])
-            flow = -delta * px[t]
-            cash += flow - commission - slippage
-            traded += abs(flow)
-            n_trades += 1
-            if abs(have + delta) <= SHARE_EPS:
-                held.pop(t, None)
-            else:
-                held[t] = have + delta
-            log("trade", day, ord_, ticker=t, shares=delta, price=px[t], notional=flow, commission=commission, slippage=slippage, cost=commission + slippage)
-        if fresh or n_trades:
-            log("turnover", day, ord_, value=traded / before if before > 0 else 0.0)
-        if fresh and not defer:
-            for t, w in halted.items():
-                log("skip", day, ord_, ticker=t, weight=w, reason=NO_PRICE)
-        elif fresh:
-            waiting, since = halted, {t: (day, ord_) for t in halted}
-        else:
-            waiting = halted
-            since = {t: since[t] for t in waiting}
-        if fresh or n_trades:
-            log("cash", day, ord_, value=cash)
-            for t, n in held.items():
-                log("hold", day, ord_, ticker=t, shares=n)
-    for t, w in waiting.items():
-        log("skip", since[t][0], since[t][1], ticker=t, weight=w, reason=NEVER)
-    cols = [c.split()[0] for c in _LOG.split(", ")]
-    frame = pd.DataFrame(out, columns=cols)
-    for name in ("ticker", "reason"):  # a missing text is None, never NaN
-        frame[name] = [v if isinstance(v, str) else None for v in frame[name]]
-    for name in ("shares", "price", "notional", "commission", "slippage", "cost", "weight", "value"):
-        frame[name] = frame[name].astype(float)
-    return frame
+def _schedule(legs: DataFrame, fills: DataFrame, defer: bool) -> DataFrame:
+    """``legs`` (strategy, exec_ord, next_ord, ticker, weight) with fill_ord and px; both null where a leg never fills."""
+    both = legs.select("ticker", F.col("exec_ord").alias("ord"), "strategy", "exec_ord", "next_ord", "weight").unionByName(
+        fills.select("ticker", "ord", F.struct("ord", "px").alias("priced")), allowMissingColumns=True)
+    ahead = Window.partitionBy("ticker").orderBy("ord").rangeBetween(0, Window.unboundedFollowing)
+    found = both.withColumn("f", F.min("priced").over(ahead)).filter("strategy is not null")
+    fits = F.col("f.ord") < F.coalesce("next_ord", F.lit(2**31 - 1)) if defer else F.col("f.ord") == F.col("exec_ord")
+    return found.select("strategy", "exec_ord", "next_ord", "ticker", "weight", F.when(fits, F.col("f.ord")).alias("fill_ord"), F.when(fits, F.col("f.px")).alias("px"))
+
+
+def _ledger(pdf: pd.DataFrame, strategy: str, capital: float, model: CostModel, fractional: bool) -> pd.DataFrame:
+    """Trades of one strategy, and a row without a ticker for each session with its value before and cash after.
+
+    ``pdf``: (ord, ticker, mark, weight, px), a row per session and name; a weight where the name fills.
+    """
+    names, code = np.unique(pdf["ticker"].to_numpy(str), return_inverse=True)
+    pdf = pdf.assign(code=code).sort_values(["ord", "code"])
+    owned, cash, out = np.zeros(len(names)), float(capital), []
+    for session, rows in pdf.groupby("ord", sort=True):
+        who, mark, px, weight = (rows[c].to_numpy() for c in ("code", "mark", "px", "weight"))
+        value = cash + float(np.nansum(owned[who] * mark))
+        aim = weight * value / px
+        delta = np.nan_to_num((aim if fractional else np.trunc(aim)) - owned[who])
+        delta[np.abs(delta) <= SHARE_EPS] = 0.0
+        moved = np.flatnonzero(delta)
+        n, at = delta[moved], px[moved]
+        cash -= float((n * at).sum() + model.cost(n, at).sum())
+        owned[who] += delta
+        owned[np.abs(owned) <= SHARE_EPS] = 0.0
+        out.append(pd.DataFrame({"strategy": strategy, "ord": session, "ticker": [*names[who[moved]], None], "shares": [*n, None], "price": [*at, None], "value": value, "cash": cash}))
+    return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in _LEDGER.split(", ")])
 
 
 def run_backtest(
@@ -141,7 +108,7 @@ def run_backtest(
     # large as the bars, so it is kept where it was computed.
     days, targets = cut(sessions(bars)), cut(targets.select("strategy", "decision_date", "ticker", "weight"))
     names = targets.select("strategy", "ticker").distinct()
-    used = bars.join(F.broadcast(names.select("ticker").distinct()), "ticker", "left_semi")
+    used = bars.join(names.select("ticker").distinct(), "ticker", "left_semi")
     grid = dense(used, days).select("ticker", "ord", "date", forward_fill("mark", ["ticker"], "ord").alias("mark"), F.col("mark").alias("_own")).persist()
     if execution_prices is not None:
         fills = execution_prices.select("date", "ticker", F.col(execution_price_field).cast("double").alias("px")).join(F.broadcast(days), "date").select("ticker", "ord", "px")
@@ -149,38 +116,49 @@ def run_backtest(
         fills = grid.select("ticker", "ord", F.col("_own").alias("px"))
     fills = fills.filter("px > 0")
     snapped = snap_targets(targets, days, lag=execution_lag)
-    sched = snapped.select("strategy", "exec_ord").distinct()
-    sched = sched.withColumn("_next", F.lead("exec_ord").over(Window.partitionBy("strategy").orderBy("exec_ord")))
-    events = sched.select("strategy", F.col("exec_ord").alias("ord"), F.lit(True).alias("is_rebal"))
-    if defer_halted:
-        legs = sched.join(names, "strategy")
-        halted = legs.join(fills.select("ticker", F.col("ord").alias("exec_ord")), ["ticker", "exec_ord"], "left_anti")
-        retry = halted.join(fills.select("ticker", "ord"), "ticker").filter((F.col("ord") > F.col("exec_ord")) & (F.col("_next").isNull() | (F.col("ord") < F.col("_next"))))
-        again = retry.groupBy("strategy", "exec_ord", "ticker").agg(F.min("ord").alias("ord")).select("strategy", "ord").distinct().withColumn("is_rebal", F.lit(False))
-        events = events.unionByName(again.join(events.select("strategy", "ord"), ["strategy", "ord"], "left_anti"))
-    weights = snapped.groupBy("strategy", F.col("exec_ord").alias("ord"), "ticker").agg(F.sum("weight").alias("weight"))
-    rows = events.join(names, "strategy").join(F.broadcast(days), "ord")
-    rows = rows.join(grid.select("ticker", "ord", "mark"), ["ticker", "ord"], "left").join(fills, ["ticker", "ord"], "left").join(weights, ["strategy", "ord", "ticker"], "left")
+    weights = snapped.groupBy("strategy", "exec_ord", "ticker").agg(F.sum("weight").alias("weight"))
+    sched = weights.select("strategy", "exec_ord").distinct()
+    sched = sched.withColumn("next_ord", F.lead("exec_ord").over(Window.partitionBy("strategy").orderBy("exec_ord")))
+    # a rebalance has a leg for every name with a target now or before; the latter may be held and is then sold
+    before = Window.partitionBy("strategy", "ticker").orderBy("exec_ord").rowsBetween(Window.unboundedPreceding, 0)
+    legs = sched.join(names, "strategy").join(weights, ["strategy", "exec_ord", "ticker"], "left")
+    legs = legs.withColumn("seen", F.count("weight").over(before)).filter("seen > 0").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    plan = cut(_schedule(legs, fills, defer_halted))
+    orders = plan.filter("fill_ord is not null").select("strategy", F.col("fill_ord").alias("ord"), "ticker", "weight", "px")
+    events = sched.select("strategy", F.col("exec_ord").alias("ord")).union(orders.select("strategy", "ord")).distinct()
+    rows = events.join(names, "strategy").join(grid.select("ticker", "ord", "mark"), ["ticker", "ord"], "left").join(orders, ["strategy", "ord", "ticker"], "left")
     capital = float(initial_capital)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _fold(pdf, key[0], capital, model, defer_halted, allow_fractional)
-
-    log = cut(rows.groupBy("strategy").applyInPandas(run, _LOG))  # every result starts from it
-    w = Window.partitionBy("strategy").orderBy("ord")
+        return _ledger(pdf, key[0], capital, model, allow_fractional)
+
+    log = cut(rows.groupBy("strategy").applyInPandas(run, _LEDGER))  # every result starts from it
+    done, states = log.filter("ticker is not null"), log.filter("ticker is null").select("strategy", "ord", "value", "cash")
+    dated = F.broadcast(days)
+    n, at = F.col("shares"), F.col("price")
+    trades = done.join(dated, "ord").select("strategy", "date", "ticker", "shares", "price", (-n * at).alias("notional"), model.commission(n).cast("double").alias("commission"),
+                                            model.slippage(n, at).cast("double").alias("slippage"), model.cost(n, at).cast("double").alias("cost"))
+    traded = done.groupBy("strategy", "ord").agg(F.sum(F.abs(n * at)).alias("_t"))
+    rebalanced = sched.select("strategy", F.col("exec_ord").alias("ord"), F.lit(True).alias("_r"))
+    turnover = states.join(traded, ["strategy", "ord"], "left").join(rebalanced, ["strategy", "ord"], "left").filter("_r or _t is not null").join(dated, "ord").select(
+        "strategy", "date", F.when(F.col("value") > 0, F.coalesce("_t", F.lit(0.0)) / F.col("value")).otherwise(0.0).alias("turnover"))
+    # positions hold from a trade to the name's next one
+    by_name = Window.partitionBy("strategy", "ticker").orderBy("ord")
+    held = done.select("strategy", "ticker", "ord", F.sum("shares").over(by_name).alias("shares"), (F.lead("ord").over(by_name) - 1).alias("_to"))
+    held = held.filter(F.abs("shares") > SHARE_EPS)
+    unfilled = plan.filter("fill_ord is null")
+    exits = unfilled.filter("weight = 0").join(held.select("strategy", "ticker", F.col("ord").alias("_o"), "_to"), ["strategy", "ticker"])
+    exits = exits.filter((F.col("_o") < F.col("exec_ord")) & (F.col("_to").isNull() | (F.col("_to") + 1 >= F.col("exec_ord")))).select(*unfilled.columns)
+    late = F.when(F.col("next_ord").isNull(), NEVER).otherwise(SUPERSEDED) if defer_halted else F.lit(NO_PRICE)
+    skipped = unfilled.filter("weight <> 0").unionByName(exits).withColumnRenamed("exec_ord", "ord").join(dated, "ord").select("strategy", "date", "ticker", "weight", late.alias("reason"))
     last = days.agg(F.max("ord").alias("_last"), F.min("ord").alias("_first"))
-    cash = log.filter("kind = 'cash'").select("strategy", "ord", F.col("value").alias("cash"))
+    w = Window.partitionBy("strategy").orderBy("ord")
     starts = names.select("strategy").distinct().select("strategy", F.lit(-1).alias("ord"), F.lit(capital).alias("cash"))
-    cash = cash.unionByName(starts).withColumn("_to", F.lead("ord").over(w) - 1)
+    cash = states.select("strategy", "ord", "cash").unionByName(starts).withColumn("_to", F.lead("ord").over(w) - 1)
     spans = cash.join(F.broadcast(last)).withColumn("_to", F.coalesce("_to", "_last"))
     daily_cash = spans.filter(F.col("_to") >= F.greatest("ord", "_first")).select("strategy", "cash", F.explode(F.sequence(F.greatest("ord", "_first"), "_to")).alias("ord"))
-    held = log.filter("kind = 'hold'").select("strategy", "ord", "ticker", "shares").join(spans.select("strategy", "ord", "_to"), ["strategy", "ord"])
-    held = held.select("strategy", "ticker", "shares", F.explode(F.sequence("ord", "_to")).alias("ord"))
-    value = held.join(grid.select("ticker", "ord", "mark"), ["ticker", "ord"]).groupBy("strategy", "ord").agg(F.sum(F.col("shares") * F.col("mark")).alias("_v"))
-    nav = daily_cash.join(value, ["strategy", "ord"], "left").join(F.broadcast(days), "ord").select(
+    daily = held.join(F.broadcast(last)).select("strategy", "ticker", "shares", F.explode(F.sequence("ord", F.coalesce("_to", "_last"))).alias("ord"))
+    value = daily.join(grid.select("ticker", "ord", "mark"), ["ticker", "ord"]).groupBy("strategy", "ord").agg(F.sum(F.col("shares") * F.col("mark")).alias("_v"))
+    nav = daily_cash.join(value, ["strategy", "ord"], "left").join(dated, "ord").select(
         "strategy", "date", "cash", F.coalesce("_v", F.lit(0.0)).alias("positions_value"), (F.col("cash") + F.coalesce("_v", F.lit(0.0))).alias("nav"))
-    return BacktestResult(
-        nav=nav, turnover=log.filter("kind = 'turnover'").select("strategy", "date", F.col("value").alias("turnover")),
-        trades=log.filter("kind = 'trade'").select("strategy", "date", "ticker", "shares", "price", "notional", "commission", "slippage", "cost"),
-        skipped=log.filter("kind = 'skip'").select("strategy", "date", "ticker", "weight", "reason"), initial_capital=capital,
-    )
+    return BacktestResult(nav=nav, turnover=turnover, trades=trades, skipped=skipped, initial_capital=capital)
