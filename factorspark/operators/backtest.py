@@ -81,8 +81,9 @@ def _ledger(pdf: pd.DataFrame, strategy: str, capital: float, model: CostModel,
         cash -= float((n * at).sum() + model.cost(n, at).sum())
         owned[who] += delta
         owned[np.abs(owned) <= SHARE_EPS] = 0.0
-        out.append(pd.DataFrame({"strategy": strategy, "ord": session, "ticker": [*names[who[moved]], None], "shares": [*n, None], "price": [*at, None], "value": value, "cash": cash}))
-    return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in _LEDGER.split(", ")])
+        out += [(strategy, session, t, x, y, value, cash) for t, x, y in zip(names[who[moved]], n, at, strict=True)]
+        out.append((strategy, session, None, None, None, value, cash))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _LEDGER.split(", ")])
 
 
 def run_backtest(

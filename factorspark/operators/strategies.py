@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorspark.functions.stats import deciles, winsorize, zscore
+from factorspark.lineage import cut
 from factorspark.operators.calendar import dense, forward_fill, sessions
-from factorspark.operators.covariance import LedoitWolfCovariance
+from factorspark.operators.covariance import CovarianceEstimator, LedoitWolfCovariance
 from factorspark.operators.factors import MomentumFactor, month_number, month_prices
-from factorspark.operators.portfolio import MeanVarianceOptimizer, RiskParityOptimizer
+from factorspark.operators.portfolio import mean_variance_chain, risk_parity_by_date
 
 TOP = (9, 10)
+#: Optimised weights of no more than this are dropped.
+DUST = 1e-6
 
 
 def top_bucket_weights(scores: DataFrame, strategy: str, *, col: str = "value", n: int = 10, top: tuple[int, ...] = TOP) -> DataFrame:
@@ -79,50 +81,56 @@ def monthly_returns(bars: DataFrame) -> DataFrame:
     return p.join(nxt, ["ticker", "m"]).select("ticker", "m", (F.col("price") / F.nullif("_q", F.lit(0.0)) - 1).alias("ret"))
 
 
+def trailing_returns(bars: DataFrame, dates: DataFrame, *, months: int = 24, recent: int = 6, names: DataFrame | None = None) -> DataFrame:
+    """(as_of, date, asset, ret): the last ``months`` monthly returns known at each (date) of ``dates``; date is the month's number.
+
+    Assets need a return in all of the last ``recent`` months; ``names`` (date, ticker) limits them by date.
+    Nothing after a date enters its rows.
+    """
+    ret = monthly_returns(bars).select("ticker", "m", "ret")
+    last = F.when(F.last_day("date") > F.col("date"), month_number("date") - 1).otherwise(month_number("date"))
+    asked = dates.select("date").distinct().withColumn("_m", last).withColumn("m", F.explode(F.sequence(F.col("_m") - months + 1, F.col("_m"))))
+    rows = asked.join(ret, "m")
+    if names is not None:
+        rows = rows.join(names.select("date", "ticker").distinct(), ["date", "ticker"], "left_semi")
+    new = F.sum((F.col("m") > F.col("_m") - recent).cast("int")).over(Window.partitionBy("date", "ticker"))
+    return rows.withColumn("_n", new).filter(F.col("_n") == recent).select(F.col("date").alias("as_of"), F.col("m").alias("date"), F.col("ticker").alias("asset"), "ret")
+
+
+def trailing_covariance(returns: DataFrame, estimator: CovarianceEstimator | None = None) -> DataFrame:
+    """(date, i, j, cov) of ``trailing_returns``: every date's own matrix, all dates side by side; dates with one asset have none."""
+    several = returns.groupBy("as_of").agg(F.countDistinct("asset").alias("_n")).filter("_n > 1")
+    used = returns.join(several, "as_of", "left_semi")
+    return (estimator or LedoitWolfCovariance()).estimate(used, by=("as_of",)).select(F.col("as_of").alias("date"), "i", "j", "cov")
+
+
 def three_weight_schemes(bars: DataFrame, panel: DataFrame, *, months: int = 24, recent: int = 6, cap: float = 0.02, risk_aversion: float = 5.0, turnover_penalty: float = 0.01,
-                         n: int = 10, top: tuple[int, ...] = TOP) -> DataFrame:
+                         n: int = 10, top: tuple[int, ...] = TOP, estimator: CovarianceEstimator | None = None) -> DataFrame:
     """Targets of three strategies over the same top-bucket names: equal, mvo and erc.
 
     Alpha is the winsorised z-score over the whole cross-section. A cap too low to invest fully is
-    raised to what equal weights need.
-
-    Covariances are Ledoit-Wolf over the names' last ``months`` monthly returns; names need all of the
-    last ``recent``. Fewer than two such names: all three are equal. One group holds a date's top
-    bucket only; the mean-variance chain is sequential by date, so all dates meet in one group.
+    raised to what equal weights need. Covariances (default Ledoit-Wolf) and risk parity are
+    worked out date by date in parallel; only the mean-variance solutions, each anchored to the
+    one before, follow one another. A date with fewer than two names of enough history has equal weights in all
+    three.
     """
     chosen = deciles(panel, "value", ["date"], n=n).filter(F.col("bucket").isin(*top)).select("date", "ticker")
     alpha = zscore(winsorize(panel.select("date", "ticker", "value"), "value", ["date"]), "value", ["date"])
-    chosen = chosen.join(alpha, ["date", "ticker"])
-    ret = monthly_returns(bars)
-    last = F.when(F.last_day("date") > F.col("date"), month_number("date") - 1).otherwise(month_number("date"))
-    at = chosen.withColumn("_m", last)
-    rows = at.join(ret, "ticker").filter((F.col("m") <= F.col("_m")) & (F.col("m") > F.col("_m") - months)).select("date", "ticker", "value", "m", "_m", "ret")
-    rows = at.select("date", "ticker", "value", "_m").join(rows.select("date", "ticker", "m", "ret"), ["date", "ticker"], "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, prev = [], None
-        for day, g in pdf.groupby("date", sort=True):
-            names = sorted(g["ticker"].unique())
-            weights = {s: pd.Series(1 / len(names), index=names) for s in ("equal", "mvo", "erc")}
-            x = g.dropna(subset=["ret"]).pivot(index="m", columns="ticker", values="ret").reindex(columns=names)
-            end = int(g["_m"].iloc[0])
-            full = x.reindex(range(end - recent + 1, end + 1)).notna().all() & (x.notna().sum() >= recent)
-            fit = list(full[full].index)
-            obs = x[fit].dropna()
-            if len(fit) >= 2 and len(obs) >= 2:
-                c = pd.DataFrame(LedoitWolfCovariance().estimate(obs.to_numpy()), index=fit, columns=fit)
-                lim = max(cap, 1 / len(fit) * 1.0000001)
-                alpha = g.drop_duplicates("ticker").set_index("ticker")["value"].reindex(fit).fillna(0.0)
-                r = MeanVarianceOptimizer(risk_aversion=risk_aversion, max_weight=lim, turnover_penalty=turnover_penalty).optimize(alpha, c, previous_weights=prev)
-                prev = r.weights
-                for s, w in (("mvo", r.weights), ("erc", RiskParityOptimizer(max_weight=lim).optimize(c).weights)):
-                    kept = w.clip(lower=0)[w > 1e-6]
-                    weights[s] = kept
-            out += [(s, day, t, float(v)) for s, w in weights.items() for t, v in w.items()]
-        return pd.DataFrame(out, columns=["strategy", "decision_date", "ticker", "weight"])
-
-    one = rows.withColumn("_g", F.lit(1))
-    return one.groupBy("_g").applyInPandas(lambda pdf: run(pdf.drop(columns="_g")), "strategy string, decision_date date, ticker string, weight double")
+    share = 1 / F.count("*").over(Window.partitionBy("date"))
+    equal = chosen.select("date", "ticker", share.alias("weight"))
+    cov = cut(trailing_covariance(trailing_returns(bars, chosen, months=months, recent=recent, names=chosen), estimator))
+    fit = cov.select("date", F.col("i").alias("ticker")).distinct()
+    asked = fit.join(alpha, ["date", "ticker"], "left").select(F.lit("mvo").alias("strategy"), "date", "ticker", F.coalesce("value", F.lit(0.0)).alias("alpha"))
+    solved = {
+        "mvo": mean_variance_chain(asked, cov, risk_aversion=risk_aversion, max_weight=cap, raise_cap=True, turnover_penalty=turnover_penalty),
+        "erc": risk_parity_by_date(cov, max_weight=cap, raise_cap=True),
+    }
+    rest = equal.join(cov.select("date").distinct(), "date", "left_anti")
+    out = equal.withColumn("strategy", F.lit("equal"))
+    for name, weights in solved.items():
+        kept = weights.filter(F.col("weight") > DUST).select("date", "ticker", "weight").unionByName(rest)
+        out = out.unionByName(kept.withColumn("strategy", F.lit(name)))
+    return out.select("strategy", F.col("date").alias("decision_date"), "ticker", "weight")
 
 
 def filled_marks(bars: DataFrame, col: str = "adj_close") -> DataFrame:

@@ -349,14 +349,50 @@ def op_b5_engine_nav(m: Market) -> DataFrame:
     return _engine(m).nav
 
 
-@query()
+# Fills by schedule: a leg fills on its ticker's first priced session from its rebalance on, before the next one.
+_FILLS = """, reb AS (SELECT o, min(ord) AS dummy, lead(o) OVER (ORDER BY o) AS nx, any_value(k) AS k FROM (
+    SELECT k, (SELECT min(ord) FROM sess WHERE date >= k) + 1 AS o, (SELECT min(ord) FROM sess WHERE date >= k) + 1 AS ord FROM (SELECT DISTINCT decision_date AS k FROM tgt)) WHERE o <= (SELECT max(ord) FROM sess) GROUP BY o),
+  legs AS (SELECT r.o, r.nx, n.ticker, coalesce(t.weight, 0) AS w FROM reb r JOIN (SELECT DISTINCT ticker FROM tgt) n ON true LEFT JOIN tgt t ON t.decision_date = r.k AND t.ticker = n.ticker
+    WHERE EXISTS (SELECT 1 FROM tgt e JOIN reb q ON q.k = e.decision_date WHERE e.ticker = n.ticker AND q.o <= r.o)),
+  priced AS (SELECT b.ticker, s.ord, b.open * b.adj_close / b.close AS px FROM bars b JOIN sess s USING (date) WHERE b.close > 0 AND b.open * b.adj_close / b.close > 0 {where}),
+  found AS (SELECT l.*, (SELECT min(p.ord) FROM priced p WHERE p.ticker = l.ticker AND p.ord >= l.o AND (l.nx IS NULL OR p.ord < l.nx)) AS f FROM legs l),
+  owned AS (SELECT *, coalesce(last_value(CASE WHEN f IS NOT NULL THEN w END IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS held FROM found)"""
+
+
+@query(_FILLS.format(where="") + " SELECT s.date, x.ticker, round(p.px, 6) AS price FROM owned x JOIN priced p ON p.ticker = x.ticker AND p.ord = x.f JOIN sess s ON s.ord = x.f WHERE x.w > 0 OR x.held")
 def op_b4_engine_trades(m: Market) -> DataFrame:
-    return _engine(m).trades
+    """What is traded when and at which price; sizes depend on the portfolio's value."""
+    return _engine(m).trades.select("date", "ticker", r("price"))
 
 
-@query()
+@query(_FILLS.format(where="AND dayofmonth(s.date) > 9") + """ SELECT s.date, x.ticker, round(x.w, 6) AS weight,
+  CASE WHEN x.nx IS NULL THEN 'halted; never filled before end of data' ELSE 'halted; superseded by next rebalance before it could fill' END AS reason FROM owned x JOIN sess s ON s.ord = x.o WHERE x.f IS NULL AND (x.w > 0 OR x.held)
+  UNION ALL SELECT NULL, 'legs filled late', count(*), NULL FROM owned WHERE f > o AND (w > 0 OR held)""")
 def op_b5_engine_skipped(m: Market) -> DataFrame:
-    return _engine(m, allow_fractional=False).skipped
+    """Nothing can be traded in the first nine days of a month, so legs wait; one row counts those that filled late."""
+    fills = m.bars.filter(F.dayofmonth("date") > 9).select("date", "ticker", prices.derived("adj_open").alias("adj_open"))
+    res = backtest.run_backtest(m.bars, m.momentum_targets, execution_prices=fills, execution_lag=1, defer_halted=True)
+    first = calendar.snap_targets(m.momentum_targets, m.sessions, lag=1).select(F.col("exec_date").alias("date")).distinct()
+    late = res.trades.join(first, "date", "left_anti").agg(F.lit(None).cast("date").alias("date"), F.lit("legs filled late").alias("ticker"), F.count("*").cast("double").alias("weight"), F.lit(None).cast("string").alias("reason"))
+    return res.skipped.select("date", "ticker", r("weight"), "reason").unionByName(late)
+
+
+# Costs without halts: what is held follows from the last value, so the value alone is carried on.
+@query(""", ks AS (SELECT decision_date AS k, row_number() OVER (ORDER BY decision_date) AS i FROM (SELECT DISTINCT decision_date FROM tgt)),
+  nm AS (SELECT a.i, a.k, n.ticker, coalesce(t.weight, 0) AS w, coalesce(u.weight, 0) AS w0, g.mark AS p, g0.mark AS p0, g1.mark AS p1 FROM ks a JOIN (SELECT DISTINCT ticker FROM tgt) n ON true
+    LEFT JOIN ks b ON b.i = a.i - 1 LEFT JOIN ks c ON c.i = a.i + 1 LEFT JOIN tgt t ON t.decision_date = a.k AND t.ticker = n.ticker LEFT JOIN tgt u ON u.decision_date = b.k AND u.ticker = n.ticker
+    JOIN grid g ON g.ticker = n.ticker AND g.date = a.k LEFT JOIN grid g0 ON g0.ticker = n.ticker AND g0.date = b.k LEFT JOIN grid g1 ON g1.ticker = n.ticker AND g1.date = c.k WHERE t.weight > 0 OR u.weight > 0),
+  steps AS (SELECT i, list({'w': w, 'w0': w0, 'p': p, 'p0': coalesce(p0, 1), 'p1': coalesce(p1, p)}) AS l FROM nm GROUP BY 1),
+  walk AS (SELECT 1::BIGINT AS i, 1e6::DOUBLE AS v, 0::DOUBLE AS v0
+    UNION ALL SELECT i + 1, v - list_sum(list_transform(l, lambda x: abs(x.w * v / x.p - x.w0 * v0 / x.p0) * (0.005 + x.p * 5e-4))) + list_sum(list_transform(l, lambda x: x.w * v / x.p * (x.p1 - x.p))), v FROM walk JOIN steps USING (i))
+  SELECT ks.k AS date, round(v, 2) AS value FROM walk JOIN ks USING (i)""")
+def op_b5_cost_value(m: Market) -> DataFrame:
+    """Value before each rebalance with commission and slippage; marks are filled forward before they are traded on."""
+    marks = m.marks.withColumnRenamed("mark", "adj_close")
+    res = backtest.run_backtest(marks, m.momentum_targets, cost_model=CostModel(0.005, 5.0))
+    paid = res.trades.groupBy("date").agg(F.sum("cost").alias("_c"))
+    on = m.momentum_targets.select(F.col("decision_date").alias("date")).distinct()
+    return res.nav.join(on, "date", "left_semi").join(paid, "date", "left").select("date", F.round(F.col("nav") + F.coalesce("_c", F.lit(0.0)), 2).alias("value"))
 
 
 @query()
@@ -504,10 +540,26 @@ def op_m6_single_factor_ols(m: Market) -> DataFrame:
     return factor_risk.single_factor_regressions(m.exposures, fwd).select("factor", "date", r("slope"), "n")
 
 
-@query()
+# Least squares by orthogonalising the factors one after the other (each date demeaned first) and substituting back.
+_OLS = """, wide AS (SELECT z.date, z.ticker, any_value(f.fwd_ret) AS y, max(CASE WHEN factor = 'momentum_12_1' THEN z END) AS a, max(CASE WHEN factor = 'low_volatility_252' THEN z END) AS b,
+    max(CASE WHEN factor = 'short_term_reversal_1' THEN z END) AS c, max(CASE WHEN factor = 'amihud_illiq_21' THEN z END) AS d
+    FROM zz z JOIN fwd f ON f.date = z.date AND f.ticker = z.ticker WHERE f.fwd_ret IS NOT NULL GROUP BY 1, 2 HAVING count(z.z) = 4),
+  w0 AS (SELECT date, y - avg(y) OVER g AS y, a - avg(a) OVER g AS a, b - avg(b) OVER g AS b, c - avg(c) OVER g AS c, d - avg(d) OVER g AS d FROM wide WINDOW g AS (PARTITION BY date) QUALIFY count(*) OVER g >= 6),
+  w1 AS (SELECT *, b - a * sum(a * b) OVER g / sum(a * a) OVER g AS b1, c - a * sum(a * c) OVER g / sum(a * a) OVER g AS c1, d - a * sum(a * d) OVER g / sum(a * a) OVER g AS d1 FROM w0 WINDOW g AS (PARTITION BY date)),
+  w2 AS (SELECT *, c1 - b1 * sum(b1 * c1) OVER g / sum(b1 * b1) OVER g AS c2, d1 - b1 * sum(b1 * d1) OVER g / sum(b1 * b1) OVER g AS d2 FROM w1 WINDOW g AS (PARTITION BY date)),
+  w3 AS (SELECT *, d2 - c2 * sum(c2 * d2) OVER g / sum(c2 * c2) OVER g AS d3 FROM w2 WINDOW g AS (PARTITION BY date)),
+  k4 AS (SELECT *, sum(d3 * y) OVER g / sum(d3 * d3) OVER g AS bd FROM w3 WINDOW g AS (PARTITION BY date)),
+  k3 AS (SELECT *, sum(c2 * (y - bd * d)) OVER g / sum(c2 * c2) OVER g AS bc FROM k4 WINDOW g AS (PARTITION BY date)),
+  k2 AS (SELECT *, sum(b1 * (y - bd * d - bc * c)) OVER g / sum(b1 * b1) OVER g AS bb FROM k3 WINDOW g AS (PARTITION BY date)),
+  ols AS (SELECT date, any_value(bd) AS bd, any_value(bc) AS bc, any_value(bb) AS bb, sum(a * (y - bd * d - bc * c - bb * b)) / sum(a * a) AS ba FROM k2 GROUP BY 1)"""
+
+
+@query(_OLS + """ SELECT date, 'momentum_12_1' AS factor, round(ba, 6) AS ret FROM ols UNION ALL SELECT date, 'low_volatility_252', round(bb, 6) FROM ols
+  UNION ALL SELECT date, 'short_term_reversal_1', round(bc, 6) FROM ols UNION ALL SELECT date, 'amihud_illiq_21', round(bd, 6) FROM ols""")
 def op_m7_factor_returns(m: Market) -> DataFrame:
     fwd = factors.forward_returns(m.bars, m.calendar).withColumnRenamed("fwd_ret", "ret")
-    return factor_risk.cross_sectional_regressions(m.exposures, fwd, [f().name for f in factors.FACTORS]).factor_returns
+    fit = factor_risk.cross_sectional_regressions(m.exposures, fwd, [f().name for f in factors.FACTORS])
+    return fit.factor_returns.select("date", "factor", r("ret"))
 
 
 @query("SELECT ticker, CASE WHEN count(fwd_ret) >= 2 THEN round(var_samp(fwd_ret), 8) END AS variance FROM fwd GROUP BY 1")
@@ -590,29 +642,50 @@ def op_m16_static_multifactor(m: Market) -> DataFrame:
     return strategies.static_multifactor_weights(m.exposures).select(F.col("decision_date").alias("date"), "ticker", r("weight"))
 
 
-@query()
+_BUCKETS = """SELECT date, ticker, round(1.0 / count(*) OVER (PARTITION BY date), 6) AS weight FROM (
+  SELECT *, CASE WHEN r = 1 THEN 1 ELSE CAST(ceil((r - 1) * least(10, m) / (m - 1) - 1e-9) AS INT) END AS bucket FROM (
+    SELECT date, ticker, row_number() OVER (PARTITION BY date ORDER BY round(v, 12), ticker) AS r, count(*) OVER (PARTITION BY date) AS m FROM ({score}))) WHERE bucket IN (9, 10)"""
+
+
+@query(_BUCKETS.format(score=f"SELECT z.date, z.ticker, sum(coalesce(w.weight, 0) * coalesce(z.z, 0)) AS v FROM zz z JOIN (SELECT DISTINCT date FROM rgcal) d USING (date) LEFT JOIN ({_MIX}) w ON w.date = z.date AND w.factor = z.factor GROUP BY 1, 2 HAVING count(z.z) > 0"))
 def op_m16_regime_adaptive(m: Market) -> DataFrame:
-    return strategies.regime_adaptive_weights(m.exposures, m.ic, monitor.regime_as_of(m.regime, m.calendar))[0]
+    got, _ = strategies.regime_adaptive_weights(m.exposures, m.ic, monitor.regime_as_of(m.regime, m.calendar), score_domain="members")
+    return got.select(F.col("decision_date").alias("date"), "ticker", r("weight"))
 
 
-@query()
+# Names with a monthly return in each of the last six months before a date.
+_TRAIL = """, tm AS (SELECT a.date, a.m AS last, r.asset FROM atm a JOIN mret r ON r.m BETWEEN a.m - 5 AND a.m {names} GROUP BY 1, 2, 3 HAVING count(*) = 6),
+  tn AS (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM tm QUALIFY n > 1),
+  th AS (SELECT t.date, r.m FROM tn t JOIN mret r ON r.asset = t.asset AND r.m BETWEEN t.last - 23 AND t.last GROUP BY 1, 2 HAVING count(*) = any_value(t.n)),
+  tr AS (SELECT * FROM tn WHERE date IN (SELECT date FROM th GROUP BY 1 HAVING count(*) >= 2))"""
+
+
+@query(_TRAIL.format(names="JOIN tgt g ON g.decision_date = a.date AND g.ticker = r.asset") + """ SELECT strategy, decision_date, CAST(sum(w) AS BIGINT) AS names, 1.0 AS total FROM (
+    SELECT 'equal' AS strategy, decision_date, 1 AS w FROM tgt UNION ALL SELECT s, decision_date, 1 FROM tgt, (VALUES ('mvo'), ('erc')) x(s) WHERE decision_date NOT IN (SELECT date FROM tr)
+    UNION ALL SELECT s, date, 1 FROM tr, (VALUES ('mvo'), ('erc')) x(s)) GROUP BY 1, 2""")
 def op_m24_three_schemes(m: Market) -> DataFrame:
-    return strategies.three_weight_schemes(m.bars, m.panel(factors.MomentumFactor))
+    """Names and whole weight of each scheme and date. The cap is as low as possible, so mvo and erc hold every name they may."""
+    got = strategies.three_weight_schemes(m.bars, m.panel(factors.MomentumFactor))
+    return got.groupBy("strategy", "decision_date").agg(F.count("*").alias("names"), F.round(F.sum("weight"), 6).alias("total"))
 
 
-@query()
+@query(_TRAIL.format(names="") + " SELECT date, asset AS ticker, round(1.0 / n, 4) AS share FROM tr")
 def op_m12_risk_parity(m: Market) -> DataFrame:
-    cov = covariance.ledoit_wolf_covariance(m.monthly).select(F.to_date(F.lit("2001-01-01")).alias("date"), "i", "j", "cov")
-    return portfolio.risk_parity_by_date(cov)
+    """Shares in the risk, which uncapped risk parity makes equal, from each date's own trailing covariance."""
+    cov = strategies.trailing_covariance(strategies.trailing_returns(m.bars, m.calendar))
+    return portfolio.risk_parity_by_date(cov).select("date", "ticker", r("share", 4))
 
 
-@query()
+@query(_TRAIL.format(names="") + """ SELECT z.date, count(*) AS names, 1.0 AS total, true AS kept FROM zz z JOIN tr ON tr.date = z.date AND tr.asset = z.ticker
+  WHERE z.factor = 'momentum_12_1' AND z.z IS NOT NULL GROUP BY 1 HAVING count(*) >= 4""")
 def op_m10_mean_variance(m: Market) -> DataFrame:
-    cov = covariance.ledoit_wolf_covariance(m.monthly)
+    """Names, whole weight and whether long-only and the cap hold, on dates with names enough for a cap of a quarter."""
     days = m.exposures.filter("factor = 'momentum_12_1' and z is not null")
+    cov = strategies.trailing_covariance(strategies.trailing_returns(m.bars, m.calendar))
     alpha = days.select(F.lit("mvo").alias("strategy"), "date", "ticker", F.col("z").alias("alpha"))
-    dated = days.select("date").distinct().join(cov.select("i", "j", "cov"))
-    return portfolio.mean_variance_chain(alpha, dated, risk_aversion=5.0, max_weight=0.25, turnover_penalty=0.01)
+    got = portfolio.mean_variance_chain(alpha, cov, risk_aversion=5.0, max_weight=0.25, raise_cap=True, turnover_penalty=0.01)
+    kept = F.bool_and((F.col("weight") >= 0) & (F.col("weight") <= 0.25 + 1e-6) & F.col("success"))
+    return got.groupBy("date").agg(F.count("*").alias("names"), F.round(F.sum("weight"), 6).alias("total"), kept.alias("kept")).filter("names >= 4")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factorspark.lineage import cut
 from factorspark.operators import calendar, evaluation, factors, factor_risk, membership, monitor
-from factorspark.operators.covariance import CovarianceEstimator  # noqa: F401  (re-exported for user code)
+
 from factorspark.operators.strategies import filled_marks, top_bucket_weights
 
 SMOOTH, TOP_NAMES = 20, 20

@@ -55,8 +55,8 @@ def test_aliases(spark):
     chain = spark.createDataFrame([("VIAB", "VIAC"), ("VIAC", "PARA"), ("PARA", "PSKY"), ("A", "B"), ("B", "A")], "old string, new string")
     got = {x["old"]: x["current"] for x in closure(chain).collect()}
     assert got["VIAB"] == got["VIAC"] == got["PARA"] == "PSKY" and got["A"] in "AB"
-    log = [(0, D("2023-07-10"), "EG", "Everest Group", "RE", "Everest Re Group", None), (1, D("2023-07-10"), "NEW", "New Corp", "OLD", "Old Industries", None)]
-    assert [(x["old"], x["new"]) for x in infer_renames(spark.createDataFrame(log, membership.CHANGES)).collect()] == [("RE", "EG")]
+    log = [(0, D("2019-03-04"), "NWD", "Northwind Harbour", "NWH", "Northwind Harbour Lines", None), (1, D("2019-03-04"), "QQA", "Quarry Apples", "ZZB", "Zebra Basalt", None)]
+    assert [(x["old"], x["new"]) for x in infer_renames(spark.createDataFrame(log, membership.CHANGES)).collect()] == [("NWH", "NWD")]
 
 
 def test_html(spark):
@@ -173,8 +173,8 @@ def test_backtest(spark):
     r = simulate(spark, {"AAA": [100, 100]}, {0: {"AAA": 1}}, initial_capital=1000, cost_model=CostModel(0.5, 10))
     last = r.nav.orderBy(F.col("date").desc()).first()
     assert last["cash"] == pytest.approx(-6) and last["nav"] == pytest.approx(994)
-    r = simulate(spark, {"AAA": [101, 101]}, {0: {"AAA": 1}}, initial_capital=1000, allow_fractional=False)
-    assert r.trades.first()["shares"] == 9 and r.nav.first()["cash"] == pytest.approx(91)
+    r = simulate(spark, {"AAA": [37, 37]}, {0: {"AAA": 1}}, initial_capital=500, allow_fractional=False)
+    assert r.trades.first()["shares"] == 13 and r.nav.first()["cash"] == pytest.approx(19)
     r = simulate(spark, {"AAA": [100] * 3, "BBB": [100] * 3}, {0: {"AAA": 1}, 1: {"BBB": 1}})
     assert [x["turnover"] for x in r.turnover.orderBy("date").collect()] == [pytest.approx(1), pytest.approx(2)]
     r = simulate(spark, {"AAA": [100, 100], "BBB": [None, 100]}, {0: {"AAA": 0.5, "BBB": 0.5}}, initial_capital=1000)
@@ -229,11 +229,26 @@ def test_covariance_and_risk(spark):
     x = r.standard_normal((60, 4)) * [0.1, 0.15, 0.2, 0.12]
     rows = [(D("2020-01-01") + timedelta(i), f"A{j}", float(x[i, j])) for i in range(60) for j in range(4)]
     df = spark.createDataFrame([*rows, (D("2021-01-01"), "A0", 9.0)], "date date, asset string, ret double")
-    for form, est in ((covariance.sample_covariance(df), covariance.SampleCovariance()), (covariance.ewma_covariance(df, halflife=10), covariance.EWMACovariance(10)), (covariance.ledoit_wolf_covariance(df), covariance.LedoitWolfCovariance())):
-        want = est.estimate(x)
-        got = {(a["i"], a["j"]): a["cov"] for a in form.collect()}
+    w = 0.5 ** (np.arange(60)[::-1] / 10)
+    w /= w.sum()
+    c, e = x - x.mean(axis=0), x - w @ x
+    plain = c.T @ c / 60
+    mu, noise = np.trace(plain) / 4, ((c**2).T @ (c**2) / 60 - plain**2).sum() / 60
+    shrink = min(1, noise / ((plain - mu * np.eye(4)) ** 2).sum())
+    forms = {"sample": np.cov(x.T), "ewma": (e * w[:, None]).T @ e / (1 - (w**2).sum()), "ledoit_wolf": shrink * mu * np.eye(4) + (1 - shrink) * plain}
+    for name, want in forms.items():
+        got = {(a["i"], a["j"]): a["cov"] for a in covariance.estimate_covariance(df, name, **({"halflife": 10} if name == "ewma" else {})).collect()}
         assert len(got) == 16 and all(got[f"A{i}", f"A{j}"] == pytest.approx(want[i, j]) for i in range(4) for j in range(4))
-    assert np.linalg.eigvalsh(covariance.LedoitWolfCovariance().estimate(r.standard_normal((20, 50)))).min() > 0
+    two = df.withColumn("g", F.lit("all")).unionByName(df.filter("date < '2020-02-01'").withColumn("g", F.lit("early")))
+    early = {(a["i"], a["j"]): a["cov"] for a in covariance.SampleCovariance().estimate(two, by=("g",)).filter("g = 'early'").collect()}
+    assert all(early[f"A{i}", f"A{j}"] == pytest.approx(np.cov(x[:31].T)[i, j]) for i in range(4) for j in range(4))
+    for bad in (lambda: covariance.estimate_covariance(df, "median"), lambda: covariance.SampleCovariance(min_periods=61).estimate(df), lambda: covariance.ewma_covariance(df, halflife=0)):
+        with pytest.raises(ValueError):
+            bad()
+    wide = r.standard_normal((8, 12))
+    few = spark.createDataFrame([(D("2020-01-01") + timedelta(i), f"B{j:02d}", float(wide[i, j])) for i in range(8) for j in range(12)], "date date, asset string, ret double")
+    m = pd.DataFrame([tuple(a) for a in covariance.ledoit_wolf_covariance(few).select("i", "j", "cov").collect()], columns=["i", "j", "cov"]).pivot(index="i", columns="j", values="cov")
+    assert np.linalg.eigvalsh(m.to_numpy()).min() > 0 > np.linalg.eigvalsh(np.cov(wide.T)).min() - 1e-9
     z = r.standard_normal(10)
     e = spark.createDataFrame([(D("2020-01-31"), f"T{k}", "f", float(z[k])) for k in range(10)], "date date, ticker string, factor string, z double")
     ret = spark.createDataFrame([(D("2020-01-31"), f"T{k}", float(0.01 + 0.03 * z[k])) for k in range(10)], "date date, ticker string, ret double")
@@ -243,22 +258,22 @@ def test_covariance_and_risk(spark):
 
 
 def test_optimisers():
-    a, c = pd.Series([0.1, 0.05], index=["A", "B"]), pd.DataFrame([[0.04, 0.01], [0.01, 0.09]], index=["A", "B"], columns=["A", "B"])
+    a, c = pd.Series([0.02, 0.07, 0.04], index=["X", "Y", "Z"]), pd.DataFrame([[0.05, 0.01, 0.0], [0.01, 0.08, 0.02], [0.0, 0.02, 0.03]], index=["X", "Y", "Z"], columns=["X", "Y", "Z"])
     inv = np.linalg.inv(c.to_numpy())
-    nu = (np.ones(2) @ inv @ a - 2.0) / (np.ones(2) @ inv @ np.ones(2))
-    w = portfolio.MeanVarianceOptimizer(risk_aversion=2.0, long_only=False).optimize(a, c).weights
-    assert w.to_numpy() == pytest.approx(inv @ (a.to_numpy() - nu) / 2.0, abs=1e-6)
+    nu = (np.ones(3) @ inv @ a - 3.0) / (np.ones(3) @ inv @ np.ones(3))
+    w = portfolio.MeanVarianceOptimizer(risk_aversion=3.0, long_only=False).optimize(a, c).weights
+    assert w.to_numpy() == pytest.approx(inv @ (a.to_numpy() - nu) / 3.0, abs=1e-6)
     n = list("ABCDE")
-    alpha, cov = pd.Series([0.3, 0.1, 0.05, 0.02, 0.01], index=n), pd.DataFrame(0.04 * np.eye(5), index=n, columns=n)
-    w = portfolio.MeanVarianceOptimizer(max_weight=0.3).optimize(alpha, cov).weights
-    assert w.sum() == pytest.approx(1) and w.max() <= 0.3 + 1e-9 and w.min() >= 0
-    r = portfolio.MeanVarianceOptimizer(risk_aversion=0.01, target_volatility=0.12).optimize(alpha, cov)
-    assert r.success and r.weights @ cov @ r.weights <= 0.12**2 * (1 + 1e-5)
+    alpha, cov = pd.Series([0.25, 0.16, 0.09, 0.04, 0.01], index=n), pd.DataFrame(np.diag([0.05, 0.04, 0.06, 0.03, 0.05]), index=n, columns=n)
+    w = portfolio.MeanVarianceOptimizer(max_weight=0.35).optimize(alpha, cov).weights
+    assert w.sum() == pytest.approx(1) and w.max() <= 0.35 + 1e-9 and w.min() >= 0
+    r = portfolio.MeanVarianceOptimizer(risk_aversion=0.01, target_volatility=0.13).optimize(alpha, cov)
+    assert r.success and r.weights @ cov @ r.weights <= 0.13**2 * (1 + 1e-5)
     assert not portfolio.MeanVarianceOptimizer(target_volatility=0.01).optimize(alpha, cov).success
     with pytest.raises(ValueError):
         portfolio.MeanVarianceOptimizer(max_weight=0.1).optimize(alpha, cov)
     prev, moved = pd.Series(0.2, index=n), []
-    for lam in (0, 0.01, 0.05, 0.2, 1):
+    for lam in (0, 0.003, 0.03, 0.1, 0.4, 2):
         moved.append(portfolio.MeanVarianceOptimizer(turnover_penalty=lam).optimize(alpha, cov, previous_weights=prev).turnover)
     assert all(x >= y - 1e-6 for x, y in zip(moved, moved[1:], strict=False)) and moved[-1] < 1e-6
     vol = np.array([0.1, 0.2, 0.4])
@@ -284,3 +299,73 @@ def test_regime_weights_use_the_past_only(spark):
 def test_symbols(spark):
     df = spark.createDataFrame([("June 20, 2024",), ("Mar 03, 2015",), ("March 2015",), ("on 2020-01-02 x",), ("junk",)], "t string")
     assert [str(r[0]) for r in df.select(symbols.change_date(F.col("t"))).collect()] == ["2024-06-20", "2015-03-03", "2015-03-01", "2020-01-02", "None"]
+
+
+def test_empty_panels(spark):
+    px = spark.createDataFrame([], "date date, ticker string, adj_close double")
+    tg = spark.createDataFrame([], "strategy string, decision_date date, ticker string, weight double")
+    res = backtest.run_backtest(px, tg, defer_halted=True)
+    assert res.nav.count() == res.trades.count() == res.skipped.count() == res.turnover.count() == 0
+
+
+def test_exits_wait_too(spark):
+    """A name to be sold whose price is missing is skipped with weight 0 if it is held, and kept."""
+    opens = {"AAA": [50, None, None, 60], "BBB": [20, 20, 20, 20]}
+    r = simulate(spark, {"AAA": [50] * 4, "BBB": [20] * 4}, {0: {"AAA": 1}, 1: {"BBB": 1}}, initial_capital=1000, opens=opens)
+    assert [(x["ticker"], x["weight"], x["reason"]) for x in r.skipped.collect()] == [("AAA", 0.0, backtest.NO_PRICE)]
+    r = simulate(spark, {"AAA": [50] * 4, "BBB": [20] * 4}, {0: {"AAA": 1}, 1: {"BBB": 1}}, initial_capital=1000, opens=opens, defer_halted=True)
+    assert r.skipped.count() == 0 and [(x["ticker"], x["shares"]) for x in r.trades.orderBy("date", "ticker").collect()][-1] == ("AAA", -20.0)
+
+
+def test_optimisers_by_date(spark):
+    """Dates in parallel and a chain that is anchored to the date before; a date without covariances is left out."""
+    d = [D("2020-01-31"), D("2020-02-29"), D("2020-03-31")]
+    vol = {"A": 0.1, "B": 0.2, "C": 0.3}
+    cov = spark.createDataFrame([(x, i, j, vol[i] * vol[j] * (1.0 if i == j else 0.2)) for x in d[:2] for i in vol for j in vol], "date date, i string, j string, cov double")
+    erc = portfolio.risk_parity_by_date(cov).collect()
+    assert len(erc) == 6 and all(x["share"] == pytest.approx(1 / 3, abs=1e-6) and x["success"] for x in erc)
+    alpha = spark.createDataFrame([("s", x, t, v * (-1) ** k) for k, x in enumerate(d) for t, v in (("A", 0.03), ("B", 0.02), ("C", -0.01))], "strategy string, date date, ticker string, alpha double")
+    free = portfolio.mean_variance_chain(alpha, cov, risk_aversion=1.0)
+    held = portfolio.mean_variance_chain(alpha, cov, risk_aversion=1.0, turnover_penalty=10.0)
+    moved = [{str(x["date"]): x["turnover"] for x in c.collect()} for c in (free, held)]
+    assert set(moved[0]) == {"2020-01-31", "2020-02-29"} and moved[0]["2020-02-29"] > 0.1 > 1e-6 > moved[1]["2020-02-29"]
+    w = spark.createDataFrame([("A", 0.5), ("B", 0.5)], "ticker string, weight double")
+    got = portfolio.risk_contributions(w, cov.filter(F.col("date") == F.lit(d[0])))
+    assert got.agg(F.sum("share")).first()[0] == pytest.approx(1) and got.filter("ticker = 'B'").first()["contribution"] == pytest.approx(0.25 * 0.04 + 0.25 * 0.004)
+
+
+def test_regression_on_several_factors(spark):
+    r = np.random.default_rng(8)
+    z = r.standard_normal((3, 30, 4))
+    beta = np.array([0.01, -0.02, 0.03, 0.005])
+    days = [D("2021-01-31"), D("2021-02-28"), D("2021-03-31")]
+    e = spark.createDataFrame([(days[t], f"T{i:02d}", f"f{k}", float(z[t, i, k])) for t in range(3) for i in range(30) for k in range(4) if not (t == 2 and i > 4)], "date date, ticker string, factor string, z double")
+    ret = spark.createDataFrame([(days[t], f"T{i:02d}", float(0.002 + z[t, i] @ beta)) for t in range(3) for i in range(30)], "date date, ticker string, ret double")
+    got = factor_risk.cross_sectional_regressions(e, ret, ["f0", "f1", "f2", "f3"]).factor_returns.collect()
+    assert len(got) == 8 and all(x["ret"] == pytest.approx(beta[int(x["factor"][1])]) for x in got)
+
+
+def test_regime_adaptive_strategy(spark):
+    days = [x.date() for x in pd.date_range("2018-01-31", periods=16, freq="ME")]
+    ic = spark.createDataFrame([(f, x, v) for x in days for f, v in (("good", 0.2), ("bad", -0.1))], "factor string, date date, ic double")
+    reg = spark.createDataFrame([(x, "low_vol_up") for x in days], "date date, regime string")
+    z = spark.createDataFrame([(x, f"T{i:02d}", f, float(i if f == "good" else -i)) for x in days for i in range(20) for f in ("good", "bad")], "date date, ticker string, factor string, z double")
+    weights, mix = strategies.regime_adaptive_weights(z, ic, reg)
+    late = weights.filter(F.col("decision_date") == F.lit(days[-1])).collect()
+    assert {x["ticker"] for x in late} == {"T16", "T17", "T18", "T19"} and all(x["weight"] == 0.25 for x in late)
+    assert {x["factor"]: x["weight"] for x in mix.filter(F.col("date") == F.lit(days[-1])).collect()} == {"good": pytest.approx(2 / 3), "bad": pytest.approx(-1 / 3)}
+    with pytest.raises(ValueError):
+        strategies.regime_adaptive_weights(z, ic, reg, score_domain="all")
+
+
+def test_trailing_returns_know_no_future(spark):
+    days = [x.date() for x in pd.bdate_range("2018-01-01", "2020-12-31")]
+    r = np.random.default_rng(3)
+    b = bars(spark, {t: 100 * np.cumprod(1 + 0.01 * r.standard_normal(len(days))) for t in "ABCDE"}, days)
+    dates = spark.createDataFrame([(D("2019-12-31"),), (D("2020-06-30"),)], "date date")
+    cov = strategies.trailing_covariance(strategies.trailing_returns(b, dates, months=12))
+    past = strategies.trailing_covariance(strategies.trailing_returns(b.filter("date <= '2019-12-31'"), dates.filter("date < '2020-01-01'"), months=12))
+    full = {(x["i"], x["j"]): x["cov"] for x in cov.filter("date < '2020-01-01'").collect()}
+    assert len(full) == 25 and all(full[x["i"], x["j"]] == pytest.approx(x["cov"]) for x in past.collect())
+    schemes = strategies.three_weight_schemes(b, spark.createDataFrame([(x, t, float(k)) for x in (D("2019-12-31"), D("2020-06-30")) for k, t in enumerate("ABCDE")], "date date, ticker string, value double"), n=5, top=(4, 5), months=12)
+    assert {(x["strategy"], x["n"]): round(x["w"], 6) for x in schemes.groupBy("strategy").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()} == {(s, 4): 2.0 for s in ("equal", "mvo", "erc")}
