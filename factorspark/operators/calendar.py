@@ -62,12 +62,24 @@ def forward_fill(value: str | Column, by: Sequence[str], order: str) -> Column:
     return F.last(value, ignorenulls=True).over(w)
 
 
+def unique_bars(bars: DataFrame, order: str | None = None) -> DataFrame:
+    """One row per (date, ticker): of repeated rows each column's last value that is not null.
+
+    Last by the column ``order`` (an ingestion time, say); without one rows have no order, and the
+    largest value stands, so that the result is the same every time.
+    """
+    rest = [c for c in bars.columns if c not in ("date", "ticker", order)]
+    value = (lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))) if order else F.max
+    return bars.groupBy("date", "ticker").agg(*(value(c).alias(c) for c in rest)) if rest else bars.select("date", "ticker").distinct()
+
+
 def dense(bars: DataFrame, days: DataFrame) -> DataFrame:
-    """Every (ticker, session) from a ticker's first bar on, with its bar or nulls.
+    """Every (ticker, session) from a ticker's first bar on, with its bar or nulls; repeated bars count once.
 
     Sessions are generated per ticker from its own first ordinal, so nothing is crossed with the
     past before a listing.
     """
+    bars = unique_bars(bars)
     at = bars.join(F.broadcast(days), "date")
     span = at.groupBy("ticker").agg(F.min("ord").alias("_lo"))
     last = days.agg(F.max("ord").alias("_hi"))

@@ -69,7 +69,7 @@ class Factor(ABC):
 
 def month_prices(bars: DataFrame, col: str = "adj_close") -> DataFrame:
     """(ticker, m, price): the last non-null price of each ticker and month."""
-    return bars.filter(F.col(col).isNotNull()).groupBy("ticker", month_number("date").alias("m")).agg(F.max_by(col, "date").alias("price"))
+    return bars.filter(F.col(col).isNotNull()).groupBy("ticker", month_number("date").alias("m")).agg(F.max(F.struct("date", col))[col].alias("price"))
 
 
 def _last_month(dates: DataFrame, label: str) -> DataFrame:

@@ -15,6 +15,7 @@ from factorspark.operators import backtest, calendar, covariance, evaluation, fa
 from factorspark.operators.costs import CostModel
 from factorspark.plans.market import Market
 from factorspark.plans.oracle import sql
+from factorspark.reports import charts
 from factorspark.sources import aliases, prices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -688,6 +689,75 @@ def op_m10_mean_variance(m: Market) -> DataFrame:
     return got.groupBy("date").agg(F.count("*").alias("names"), F.round(F.sum("weight"), 6).alias("total"), kept.alias("kept")).filter("names >= 4")
 
 
+# Reports
+
+
+@query("SELECT strategy, date, round(100 * (nav / max(nav) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) - 1), 6) AS drawdown_pct FROM nav")
+def op_r2_drawdown_chart(m: Market) -> DataFrame:
+    return charts.drawdown_chart(m.nav).select("strategy", "date", r("drawdown_pct"))
+
+
+@query("SELECT strategy, date, round(nav, 6) AS nav FROM nav UNION ALL SELECT 'Benchmark', date, round(close, 6) FROM bench")
+def op_r1_nav_chart(m: Market) -> DataFrame:
+    return charts.nav_chart(m.nav, m.benchmark.select("date", F.col("close").alias("nav"))).select("strategy", "date", r("nav"))
+
+
+@query("SELECT factor, date, round(ic, 6) AS ic, CASE WHEN count(ic) OVER w = 12 THEN round(avg(ic) OVER w, 6) END AS rolling, round(avg(ic) OVER (PARTITION BY factor), 6) AS mean FROM ic WINDOW w AS (PARTITION BY factor ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)")
+def op_r5_ic_chart(m: Market) -> DataFrame:
+    return charts.ic_chart(m.ic).select("factor", "date", r("ic"), r("rolling"), r("mean"))
+
+
+@query("SELECT factor, bucket, round(100 * annualized, 4) AS annualized_pct FROM ann WHERE annualized IS NOT NULL")
+def op_r5_decile_chart(m: Market) -> DataFrame:
+    return charts.decile_chart(m.panel()).select("factor", "bucket", r("annualized_pct", 4))
+
+
+@query("""SELECT factor, regime, round(v, 6) AS mean_ic, n, round(v / max(abs(v)) OVER (), 5) AS shade FROM (
+  SELECT f.factor, g.regime, avg(i.ic) AS v, count(i.ic) AS n FROM (SELECT DISTINCT factor FROM ic) f CROSS JOIN (VALUES ('low_vol_up'), ('low_vol_down'), ('high_vol_up'), ('high_vol_down')) g(regime)
+  LEFT JOIN (SELECT ic.factor, ic.ic, rgcal.regime FROM ic JOIN rgcal USING (date)) i ON i.factor = f.factor AND i.regime = g.regime GROUP BY 1, 2)""")
+def op_r6_regime_chart(m: Market) -> DataFrame:
+    return charts.regime_chart(monitor.factor_regime_matrix(m.ic, monitor.regime_as_of(m.regime, m.calendar))).select("factor", "regime", r("mean_ic"), "n", r("shade", 5))
+
+
+@query(f"""SELECT r.factor, r.date, round(r.ic, 6) AS ic, round(r.rolling, 6) AS rolling, coalesce(a.triggered AND a.after < a.before AND a.point = r.date, false) AS alert FROM (
+    SELECT factor, date, ic, CASE WHEN count(ic) OVER w >= 12 THEN avg(ic) OVER w END AS rolling FROM ic WINDOW w AS (PARTITION BY factor ORDER BY date ROWS BETWEEN 35 PRECEDING AND CURRENT ROW)) r
+  LEFT JOIN (SELECT t.factor, any_value(t.date) AS point, any_value(t.v) > 1.36 AS triggered, avg(CASE WHEN c.k <= t.k THEN c.ic END) AS before, avg(CASE WHEN c.k > t.k THEN c.ic END) AS after
+    FROM ({_CUSUM}) c JOIN (SELECT factor, date, k, abs(path) AS v FROM ({_CUSUM}) QUALIFY row_number() OVER (PARTITION BY factor ORDER BY round(abs(path), 12) DESC, date) = 1) t USING (factor) GROUP BY 1) a USING (factor)""")
+def op_r6_health_chart(m: Market) -> DataFrame:
+    return charts.health_chart(m.ic).select("factor", "date", r("ic"), r("rolling"), "alert")
+
+
+_PROFILE = "SELECT z.date, z.factor, sum(coalesce(t.weight, 0) * coalesce(z.z, 0)) AS exposure, any_value(n.n) AS n_held FROM zz z JOIN (SELECT decision_date, count(*) AS n FROM tgt GROUP BY 1) n ON n.decision_date = z.date LEFT JOIN tgt t ON t.decision_date = z.date AND t.ticker = z.ticker GROUP BY 1, 2"
+
+
+def _profile(m: Market) -> DataFrame:
+    e = m.exposures
+    seen = e.groupBy("date", "factor").agg(F.count("z").alias("_n")).filter("_n > 0").drop("_n")
+    return factor_risk.exposure_profile(m.momentum_targets.select(F.col("decision_date").alias("date"), "ticker", "weight"), e.join(seen, ["date", "factor"], "left_semi"))
+
+
+@query(f"SELECT factor, round(avg(exposure), 6) AS exposure, count(*) AS n FROM ({_PROFILE}) GROUP BY 1")
+def op_a20_average_exposure(m: Market) -> DataFrame:
+    return charts.average_exposure(_profile(m)).select("factor", r("exposure"), "n")
+
+
+@query(f"SELECT date, factor, round(exposure, 6) AS exposure, n_held FROM ({_PROFILE}) WHERE date = (SELECT max(decision_date) FROM tgt)")
+def op_r7_exposure_chart(m: Market) -> DataFrame:
+    return charts.exposure_chart(_profile(m)).select("date", "factor", r("exposure"), "n_held")
+
+
+@query(f"{_DECOMP} SELECT factor AS label, round(contribution, 9) AS variance FROM pt UNION ALL SELECT 'Specific', round(sum(weight * weight * v), 9) FROM tgt JOIN sv USING (ticker) WHERE decision_date = (SELECT d FROM ld)")
+def op_r7_risk_chart(m: Market) -> DataFrame:
+    return charts.risk_chart(*_decompose(m)).select("label", r("variance", 9))
+
+
+@query("SELECT date, ticker, max(adj_close) AS adj_close, max(volume) AS volume FROM (SELECT date, ticker, adj_close, volume FROM bars UNION ALL SELECT date, ticker, adj_close, NULL FROM bars WHERE ticker < 'BRAND#3') GROUP BY 1, 2")
+def op_a1_unique_bars(m: Market) -> DataFrame:
+    """Repeated bars, some without a volume, come out once."""
+    b = m.bars.select("date", "ticker", "adj_close", "volume")
+    return calendar.unique_bars(b.unionByName(b.filter("ticker < 'BRAND#3'").withColumn("volume", F.lit(None).cast("double"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
