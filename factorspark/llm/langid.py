@@ -35,17 +35,21 @@ class _Letters:
         self.row = np.full(0x110000, -1, np.int32)
         self.signs = np.empty((GRAM, 0, DIM), np.int8)
 
-    def of(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(GRAM x rows x DIM signs, row of each of the distinct ``points``)."""
-        new = points[self.row[points] < 0]
-        if len(new):
+    def of(self, points: np.ndarray) -> np.ndarray | None:
+        """The row in ``signs`` of each of ``points``; None if these alone are more letters than are kept."""
+        rows = self.row[points]
+        if (rows < 0).any():
+            new = np.unique(points[rows < 0])
             if self.signs.shape[1] + len(new) > KEPT:
+                new = np.unique(points)
+                if len(new) > KEPT:
+                    return None
                 self.__init__()
-                new = points
             base = _draw(new)
             self.row[new] = np.arange(len(new), dtype=np.int32) + self.signs.shape[1]
             self.signs = np.concatenate((self.signs, np.stack([np.roll(base, k, axis=1) for k in range(GRAM)])), axis=1)
-        return self.signs, self.row[points]
+            rows = self.row[points]
+        return rows
 
 
 def _draw(points: np.ndarray) -> np.ndarray:
@@ -95,12 +99,15 @@ def _profile(text: str | None) -> tuple[np.ndarray | None, int]:
     codes = np.concatenate(([0], codes[1:] if codes[0] == 0 else codes, [] if codes[-1] == 0 else [0])).astype(np.int64)
     if len(codes) < GRAM:
         codes = np.concatenate((codes, np.zeros(GRAM - len(codes), np.int64)))
-    # the text's own alphabet numbers its letters, so that n-grams of any script fit one integer
-    alphabet, codes = np.unique(codes, return_inverse=True)
-    n, size = len(codes) - GRAM + 1, len(alphabet)
-    grams = codes[:n].copy()
+    n, letters = len(codes) - GRAM + 1, _LETTERS()
+    rows, size = letters.of(codes), KEPT
+    if rows is None:  # a text of very many letters numbers them itself
+        alphabet, rows = np.unique(codes, return_inverse=True)
+        size = len(alphabet)
+    rows = rows.astype(np.int64)
+    grams = rows[:n].copy()
     for k in range(1, GRAM):
-        grams = grams * size + codes[k : k + n]
+        grams = grams * size + rows[k : k + n]
     ids, counts = np.unique(grams, return_counts=True)
     total = np.zeros(DIM, np.float32)
     for at in range(0, len(ids), 1024):
@@ -108,12 +115,13 @@ def _profile(text: str | None) -> tuple[np.ndarray | None, int]:
         for _ in range(GRAM):
             places.append(part % size)
             part = part // size
-        met, inverse = np.unique(np.concatenate(places), return_inverse=True)  # at most 1024 * GRAM letters
-        letters, row = _LETTERS().of(alphabet[met])
-        of = row[inverse].reshape(GRAM, -1)
-        bound = letters[GRAM - 1][of[0]]
+        if size != KEPT:
+            met = letters.of(alphabet[np.concatenate(places)])  # 1024 * GRAM of them are kept at once
+            places = np.split(met, GRAM)
+        signs = letters.signs
+        bound = signs[GRAM - 1][places[0]]
         for k in range(1, GRAM):
-            bound = bound * letters[GRAM - 1 - k][of[k]]
+            bound = bound * signs[GRAM - 1 - k][places[k]]
         total += counts[at : at + 1024].astype(np.float32) @ bound.astype(np.float32)
     norm = float(np.sqrt(np.dot(total, total)))
     return (total / norm if norm else None), len(ids)
