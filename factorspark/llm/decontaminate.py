@@ -23,8 +23,9 @@ from factorspark.llm.common import cut, nameless
 #: Fixed masks: 1 reads a token, 0 ignores it.
 MASKS = ("11111", "111011", "11010011")
 WINDOW, SHORTEST, LEAST, BROADCAST_ROWS = 12, 8, 0.8, 100_000
-#: Scripts that write no blanks between words.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Blocks of scripts that write no blanks between words: Thai, Lao, Myanmar, Khmer, kana, Han. All lie beyond PLAIN.
+UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{323AF}]"
+PLAIN = r"[^\x00-\u0DFF]"
 
 
 def tokens(text: Column) -> Column:
@@ -34,7 +35,7 @@ def tokens(text: Column) -> Column:
     token of an item.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
-    apart = F.when(low.rlike(UNSPACED), F.regexp_replace(low, UNSPACED, " $0 ")).otherwise(low)
+    apart = F.when(low.rlike(PLAIN), F.regexp_replace(low, UNSPACED, " $0 ")).otherwise(low)
     return F.split(apart, r"[^\p{L}\p{N}]+")
 
 
