@@ -25,6 +25,13 @@ def _round6(x: Column) -> Column:
     return F.floor(x * F.lit(1e6) + F.lit(0.5)).cast("double") / F.lit(1e6)
 
 
+def forget() -> None:
+    """Drops every shared market with what it keeps in memory: for changed tables and for timing."""
+    for m in _MARKETS.values():
+        m.release()
+    _MARKETS.clear()
+
+
 class Market:
     """DataFrames over one folder of tables, built when first asked for.
 
@@ -48,6 +55,12 @@ class Market:
             _MARKETS[key] = Market(spark, sf_dir)
         return _MARKETS[key]
 
+    def release(self) -> None:
+        """Unpersists what is kept; the market can't be used afterwards."""
+        for name in ("bars", "marks"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
