@@ -304,17 +304,31 @@ def radix_groups(data: np.ndarray, start: np.ndarray, group: np.ndarray, width:
     Most significant digit first. ``which`` indexes ``start``, in the order of groups and bytes;
     equal strings of one group have one number.
     """
-    which = np.arange(len(start))
+    which = np.argsort(group, kind="stable")
+    group = group[which]
+    group = np.cumsum(np.concatenate(([False], group[1:] != group[:-1]))[: len(group)])
+    # the digit at every place of the data, most significant byte first
+    digits = np.zeros(max(0, len(data) - digit + 1), np.uint64)
+    for k in range(digit):
+        digits = (digits << np.uint64(8)) | data[k : len(data) - digit + 1 + k]
     for at in range(0, width, digit):
-        value = np.zeros(len(which), np.uint64)
-        for k in range(min(digit, width - at)):
-            value = (value << np.uint64(8)) | data[start[which] + (at + k)].astype(np.uint64)
-        order = np.lexsort((value, group))
-        which, value, group = which[order], value[order], group[order]
-        new = np.concatenate(([True], (group[1:] != group[:-1]) | (value[1:] != value[:-1])))[: len(which)]
-        group = np.cumsum(new) - 1
+        # the last digit begins early rather than going past the end: what it reads again is equal
+        value = digits[start[which] + min(at, width - digit)]
+        new = np.concatenate(([True], group[1:] != group[:-1]))[: len(group)]
+        odd = value != value[np.flatnonzero(new)][group]
+        if odd.any():
+            # only groups that this digit tells apart are sorted; each stays in its place
+            mixed = np.zeros(group[-1] + 1, bool)
+            mixed[group[odd]] = True
+            at_ = np.flatnonzero(mixed[group])
+            order = np.lexsort((value[at_], group[at_]))
+            which[at_], value[at_] = which[at_][order], value[at_][order]
+            new[1:] |= value[1:] != value[:-1]
+            group = np.cumsum(new) - 1
         undecided = np.bincount(group, minlength=1)[group] > 1
-        which, group = which[undecided], group[undecided]
+        if not undecided.all():
+            which, group = which[undecided], group[undecided]
+            group = np.cumsum(np.concatenate(([False], group[1:] != group[:-1]))[: len(group)])
         if not len(which):
             break
     return which, group
