@@ -33,7 +33,7 @@ def folder(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["op2_url_filter", "op5_decontaminate", "op6_nearest", "op8_sharding"])
+@pytest.mark.parametrize("name", ["op2_url_filter", "op4_substrings", "op5_decontaminate", "op6_nearest", "op8_sharding"])
 def test_query_equals_oracle(spark, folder, name):
     got = catalog.queries()[name](spark, folder)
     cols = sorted(got.columns)
