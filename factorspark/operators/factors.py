@@ -8,7 +8,8 @@ if it is given later rows. Values are signed so that higher should mean more ret
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from datetime import date
 from functools import reduce
 
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from factorspark.functions.stats import ratio
 from factorspark.functions.symbols import to_date
 from factorspark.operators.calendar import dense, forward_fill, sessions
+from factorspark.operators.membership import members_by
 
 
 class LookaheadBiasError(ValueError):
@@ -226,13 +228,16 @@ def forward_returns(bars: DataFrame, calendar: DataFrame, *, col: str = "adj_clo
     return at.join(nxt, ["rebal", "ticker"], "left").select("date", "ticker", (ratio(F.col("_q"), F.col("_p")) - 1).alias("fwd_ret"))
 
 
-def factor_panel(factors: list[Factor], bars: DataFrame, calendar: DataFrame, members: DataFrame | None = None) -> DataFrame:
+def factor_panel(factors: list[Factor], bars: DataFrame, calendar: DataFrame, members: DataFrame | Callable[[date], Iterable[str]] | None = None) -> DataFrame:
     """(factor, date, ticker, value, fwd_ret) of all factors over a rebalance calendar.
 
     Rows are the union of tickers with a value and tickers with a forward return, on the dates that
-    have members (without ``members``: all dates).
+    have members (without ``members``: all dates). ``members`` is a table (as_of, ticker) or a
+    function that names the tickers of a date.
     """
     dates = calendar.select(F.col("date").alias("as_of"))
+    if callable(members):
+        members = members_by(members, dates)
     values = reduce(DataFrame.unionByName, (f.panel(bars, dates, members) for f in factors))
     fwd = forward_returns(bars, calendar)
     if members is not None:

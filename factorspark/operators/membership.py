@@ -8,6 +8,9 @@ out; without any later event it is in exactly if it is in today's list. So one w
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from datetime import date
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +54,16 @@ def members_as_of(constituents: DataFrame, changes: DataFrame, dates: DataFrame,
     return out.select("as_of", ticker.alias("ticker")).distinct()
 
 
+def members_by(rule: Callable[[date], Iterable[str]], dates: DataFrame) -> DataFrame:
+    """(as_of, ticker): what ``rule`` says for each ``as_of`` of ``dates``, asked once a date on the driver.
+
+    A rule of Python's can't run elsewhere; there are as many calls as rebalance dates, whatever the bars.
+    """
+    days = sorted(r["as_of"] for r in dates.select("as_of").distinct().filter("as_of is not null").collect())
+    rows = [(day, ticker) for day in days for ticker in sorted(set(rule(day)))]
+    return dates.sparkSession.createDataFrame(rows, "as_of date, ticker string")
+
+
 def union_ever(constituents: DataFrame, changes: DataFrame, start: object, end: object, *, fetched_at: object, renames: DataFrame | None = None, sample_dates: DataFrame | None = None, normalize: bool = True) -> DataFrame:
     """(ticker), sorted: every symbol sampled in [start, end] or named by a change within.
 

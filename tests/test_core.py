@@ -301,6 +301,25 @@ def test_symbols(spark):
     assert [str(r[0]) for r in df.select(symbols.change_date(F.col("t"))).collect()] == ["2024-06-20", "2015-03-03", "2015-03-01", "2020-01-02", "None"]
 
 
+def test_members_by_a_function(spark):
+    """A function of the date does what its table does; dates it names nobody for have no rows."""
+    days = month_ends(16)
+    px = bars(spark, {"A": [10 + k for k in range(16)], "B": [40 - k for k in range(16)]}, days)
+    rebal = spark.createDataFrame([(k, x) for k, x in enumerate(days[-4:])], "rebal long, date date")
+    who = {days[-4]: ["B", "A", "B"], days[-3]: ["A"]}
+    table = spark.createDataFrame([(x, t) for x, ts in who.items() for t in set(ts)], "as_of date, ticker string")
+    asked = []
+
+    def rule(day):
+        asked.append(day)
+        return who.get(day, [])
+
+    kinds = [factors.MomentumFactor(), factors.LowVolatilityFactor()]
+    got, want = (sorted(map(str, factors.factor_panel(kinds, px, rebal, m).collect())) for m in (rule, table))
+    assert want and got == want and asked == days[-4:]
+    assert membership.members_by(rule, rebal.limit(0).selectExpr("date AS as_of")).count() == 0
+
+
 def test_empty_panels(spark):
     px = spark.createDataFrame([], "date date, ticker string, adj_close double")
     tg = spark.createDataFrame([], "strategy string, decision_date date, ticker string, weight double")
