@@ -1,21 +1,30 @@
-"""Near copies: all pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Texts of equal words are one class. A class has ``BANDS`` keys of ``ROWS`` minima of random hashes
-each; a pair at similarity s shares none with chance (1 - s**ROWS)**BANDS, 3e-6 at 0.8 and less
-above. Classes of equal key are a bucket. In it pairs are told apart by a bound that loses nothing:
-each shingle flips one of 256 bits, so two sets differ in at least as many shingles as their bits
-do. What passes is compared exactly, in two rounds, so that a large group of near copies does not
-cost all its pairs: first a spanning forest of each bucket, then every pair of a bucket that the
-links of the first round leave in different components.
-
-No task holds a large bucket. In the first round it is dealt to parts of about ``PART`` classes, and
-about ``PIVOTS`` of its classes go to all of them, so that the parts' forests meet. In the second, parts
-of the whole bucket meet parts of what is outside its largest component: all pairs that are left, and
-no bucket of one component is read at all.
+"""Near copies by SimHash and BK-trees: all pairs of texts whose sets of five-word shingles have a
+Jaccard similarity of 0.8 or more.
+
+Texts of equal words are one class. A class has a fingerprint whose bits are majority votes of its
+shingles' hashes. A bit differs in a pair at 0.8 with chance ``DIFFER`` at most, so 64 bits at radius 2,
+as in ``simhash``, can't reach it: the fingerprint is longer. ``BITS`` of its bits are what trees measure, with radius
+``RADIUS`` (a pair at 0.8 is beyond it with chance 1e-6); the rest are cut to blocks, so many that a pair
+agrees on none with chance ``MISS`` (the pigeonhole of radius 2 would need blocks of 3 bits). A class
+goes to one shard per block, keyed by the block's value. Blocks get wider and more with the corpus
+(``blocks``), so shards stay at about 16 random classes. In a shard's BK-trees each class looks for those within the radius
+along the edges that can lead there; only classes that found one or were found go on.
+
+Links are then checked exactly, in two rounds, so that a large group of near copies does not
+cost all its pairs: first a spanning forest of each shard, then every pair of a shard that the
+links of the first round leave in different components. A bound that loses nothing comes before
+the exact comparison: each shingle flips one of 256 bits, so two sets differ in at least as many shingles as
+their bits do.
+
+No task holds a large shard: one of over ``SHARD_MAX`` classes skips the tree and goes on whole. In the first round a
+shard is dealt to parts of about ``PART`` classes, and about ``PIVOTS`` of its classes go to all of them, so that the
+parts' forests meet. In the second, parts of the whole shard meet parts of what is outside its largest component: all
+pairs that are left, and no shard of one component is read at all.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,19 +35,24 @@ from pyspark.sql import functions as F
 
 from factorspark.llm.common import cut, kept_table, one_per_group, spread_join
 from factorspark.llm.components import components
-
-SHINGLE, SEED, BANDS, ROWS = 5, 42, 32, 5
+from factorspark.llm.simhash import BKTree
+
+SHINGLE, SEED = 5, 42
+#: Bits that trees measure, and how many may differ.
+BITS, RADIUS = 128, 42
+#: Chances, at most, that a bit of a pair at 0.8 differs, and that all its blocks do.
+DIFFER, MISS = 0.156, 3e-6
+#: Classes of the largest shard that gets a tree.
+SHARD_MAX = 4096
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_DRAW = np.random.default_rng(SEED)
-_BY = _DRAW.integers(0, 1 << 31, (BANDS * ROWS, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _DRAW.integers(0, 1 << 32, (BANDS * ROWS, 1)).astype(np.uint32)
-_MIX, _FOLD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1 << 11
+_STEP, _MIX, _FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Votes are summed in bytes.
+_CHUNK = 250
 #: Classes of a bucket that one group compares, about, and those of a larger bucket that all its groups share.
 PART, PIVOTS = 1024, 64
 #: Rows per record batch sent on.
 _OUT = 20_000
-_BUCKET = "key long, h long, n long, bits binary"
+_DEALT = "key long, h long, f0 long, f1 long"
 
 
 def shingles(text: str | None) -> tuple[int, np.ndarray]:
@@ -53,16 +67,34 @@ def shingles(text: str | None) -> tuple[int, np.ndarray]:
     return h, np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64))
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    """One key a band; equal ones of two sets make them candidates."""
-    x, low = (s >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+def blocks(rows: int) -> tuple[int, int]:
+    """(bits of a block, number of blocks) for a corpus of so many rows."""
+    width = max(8, math.ceil(math.log2(max(rows, 1))) - 4)
+    return width, math.ceil(math.log(MISS) / math.log1p(-((1 - DIFFER) ** width)))
+
+
+def fingerprint(s: np.ndarray, bits: int) -> np.ndarray:
+    """Bit b is 1 if more than half of the shingles' hashes have it.
+
+    Sets of up to three shingles are at 0.8 only if they are equal, so they vote as one. To larger ones
+    a vote that all share is added: sets of four and five at 0.8 would differ in 0.19 of their bits.
+    """
+    x = np.append(s, _STEP) if len(s) > 3 else np.bitwise_xor.reduce(s * _MIX, keepdims=True)
+    step = np.arange(1, -(-bits // 64) + 1, dtype=np.uint64) * _STEP
+    ones = np.zeros(64 * len(step), np.int64)
     for at in range(0, len(x), _CHUNK):
-        np.minimum(low, (x[at : at + _CHUNK] * _BY + _PLUS).min(axis=1), out=low)
-    key, low = np.arange(1, BANDS + 1, dtype=np.uint64) * _FOLD, low.reshape(BANDS, ROWS).astype(np.uint64)
-    for r in range(ROWS):
-        key = (key ^ low[:, r]) * _MIX
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+        h = x[at : at + _CHUNK, None] + step
+        h = (h ^ (h >> np.uint64(30))) * _MIX
+        h = (h ^ (h >> np.uint64(27))) * _FOLD
+        h ^= h >> np.uint64(31)
+        ones += np.unpackbits(h.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return (2 * ones[:bits] > len(x)).view(np.uint8)
+
+
+def block_keys(bits: np.ndarray, width: int) -> np.ndarray:
+    """A key for each block of each row of ``bits``, which are those after the first ``BITS``."""
+    value = bits.reshape(len(bits), -1, width) @ (1 << np.arange(width))
+    return value + (np.arange(value.shape[1]) << width)
 
 
 def parities(s: np.ndarray) -> bytes:
@@ -70,29 +102,34 @@ def parities(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).tobytes()
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], width: int, count: int) -> Iterator[pa.RecordBatch]:
+    """``bits`` are the parities and the fingerprint's first bits, ``blocks`` the others."""
     for b in batches:
-        hs, n, bits, keys = [], [], [], []
+        hs, n, bits, rest = [], [], [], []
         for t in b.column(2):
             h, s = shingles(t.as_py())
             hs.append(h)
             n.append(len(s))
-            bits.append(parities(s))
-            keys.append(band_keys(s).tobytes() if len(s) else b"")
+            f = fingerprint(s, BITS + width * count)
+            bits.append(parities(s) + np.packbits(f[:BITS]).tobytes())
+            rest.append(np.packbits(f[BITS:]).tobytes())
         h = np.array(hs, np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(h), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.binary())],
-            names=["doc_id", "text_hash", "h", "n", "bits", "keys"])
+            [b.column(0), b.column(1), pa.array(h), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(rest, pa.binary())],
+            names=["doc_id", "text_hash", "h", "n", "bits", "blocks"])
 
 
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each key of a class."""
+def _deal(batches: Iterator[pa.RecordBatch], width: int, count: int) -> Iterator[pa.RecordBatch]:
+    """A row for each block of a class."""
     for b in batches:
-        for at in range(0, b.num_rows, _OUT // BANDS):
-            p = b.slice(at, _OUT // BANDS)
-            of = np.repeat(np.arange(p.num_rows), [len(k) // 8 for k in p.column(3).to_pylist()])
-            key = np.frombuffer(b"".join(p.column(3).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(p.column(i).take(pa.array(of)) for i in range(3))], names=["key", "h", "n", "bits"])
+        for at in range(0, b.num_rows, max(1, _OUT // count)):
+            p = b.slice(at, max(1, _OUT // count))
+            m = p.num_rows
+            rest = np.frombuffer(b"".join(p.column(2).to_pylist()), np.uint8).reshape(m, -1)
+            f = np.frombuffer(b"".join(p.column(1).to_pylist()), np.int64).reshape(m, -1)[:, 4:]
+            key = block_keys(np.unpackbits(rest, axis=1, count=width * count), width)
+            cols = (np.repeat(c, count) for c in (np.asarray(p.column(0)), f[:, 0], f[:, 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *map(pa.array, cols)], names=["key", "h", "f0", "f1"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +150,74 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(keep))
 
 
+def _search(tree: BKTree, value: int, radius: int) -> Iterator[int]:
+    """Indices of the nodes within ``radius`` of ``value``. Nodes have fewer edges than a wide radius has distances."""
+    values, children, stack = tree.values, tree.children, [0] if tree.values else []
+    while stack:
+        i = stack.pop()
+        d = (values[i] ^ value).bit_count()
+        if d <= radius:
+            yield i
+        for r, k in children[i].items():
+            if d - radius <= r <= d + radius:
+                stack.append(k)
+
+
+def neighboured(values: list[int], radius: int) -> list[bool]:
+    """Of each value whether another one is within ``radius`` of it.
+
+    By two BK-trees, so that a group of near copies does not cost all its pairs. One has the values that
+    found none when they came: all of it is searched, for they wait to be found. Of the other any node will do.
+    """
+    alone, met, rows, found, first = BKTree(), BKTree(), [], [False] * len(values), {}
+    for i, v in enumerate(values):
+        if radius >= 0 and (j := first.setdefault(v, i)) != i:
+            found[i] = found[j] = True
+            continue
+        hits = list(_search(alone, v, radius))
+        for k in hits:
+            found[rows[k]] = True
+        if hits or next(_search(met, v, radius), None) is not None:
+            found[i] = True
+            met.add(v)
+        else:
+            alone.add(v)
+            rows.append(i)
+    return found
+
+
+def _near(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """(key, h) of the rows that have a neighbour in their shard, all of one too large for a tree; they come sorted by key."""
+    held, large = None, None
+
+    def settle(rows: pa.RecordBatch) -> pa.RecordBatch:
+        key = np.asarray(rows.column(0))
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        f0, f1 = (np.asarray(rows.column(i)).view(np.uint64).tolist() for i in (2, 3))
+        values = [a << 64 | b for a, b in zip(f0, f1, strict=True)]
+        keep: list[bool] = []
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            keep += [True] * (e - s) if e - s > SHARD_MAX or key[s] == large else neighboured(values[s:e], radius)
+        return rows.select(["key", "h"]).filter(pa.array(keep, pa.bool_()))
+
+    for b in batches:
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        if not b.num_rows:
+            continue
+        key = np.asarray(b.column(0))
+        last = int(np.searchsorted(key, key[-1]))
+        if key[-1] == large or len(key) - last > SHARD_MAX:  # what follows of this key goes on as well
+            out, held = settle(b), None
+            large = key[-1]
+        else:
+            out, held = settle(b.slice(0, last)) if last else None, b.slice(last)
+        if out is not None:
+            yield out
+    if held is not None:
+        yield settle(held)
+
+
 def _buckets(batches: Iterator[pa.RecordBatch], pairs: Callable) -> Iterator[pa.RecordBatch]:
     """(a, b) by ``pairs`` of each group of rows (key, h, n, bits, comp, side); they come sorted by key."""
     held: list[pa.RecordBatch] = []
@@ -120,7 +225,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], pairs: Callable) -> Iterator[pa.
 
     def settle(rows: pa.Table) -> None:
         cols = [np.asarray(c.combine_chunks()) for c in (rows.column(0), rows.column(1), rows.column(2), rows.column(4), rows.column(5))]
-        bits = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint64).reshape(-1, 4)
+        bits = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint64).reshape(len(rows), -1)
         key, h, n, comp, side = cols
         cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
@@ -151,9 +256,11 @@ def _buckets(batches: Iterator[pa.RecordBatch], pairs: Callable) -> Iterator[pa.
 
 
 def _differ(n: np.ndarray, bits: np.ndarray, size: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that may be at 0.8 or more from a set of ``size`` and ``code`` (sets then differ in a ninth of their sizes' sum), and their bound."""
-    d = np.maximum(np.bitwise_count(bits ^ code).sum(axis=1, dtype=np.int64), np.abs(n - size))
-    at = np.flatnonzero(9 * d <= n + size)
+    """Rows whose fingerprint is within the radius and that may be at 0.8 or more from a set of ``size`` and ``code`` (sets
+    then differ in a ninth of their sizes' sum), and their bound. Of ``bits`` four numbers are the parities, the others the fingerprint."""
+    x = np.bitwise_count(bits ^ code)
+    d = np.maximum(x[:, :4].sum(axis=1, dtype=np.int64), np.abs(n - size))
+    at = np.flatnonzero((9 * d <= n + size) & (x[:, 4:].sum(axis=1, dtype=np.int64) <= RADIUS))
     return at, d[at]
 
 
@@ -204,10 +311,12 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     return cut(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long, ok boolean"))
 
 
-def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
+def links(classes: DataFrame, texts: DataFrame, width: int, count: int, *, radius: int = RADIUS) -> DataFrame:
     """(a, b): links of the classes, enough that every pair at 0.8 or more is connected."""
-    dealt = classes.select("h", "n", "bits", "keys").mapInArrow(_deal, _BUCKET).repartition("key").sortWithinPartitions("key")
-    buckets = kept_table(dealt.mapInArrow(_shared, _BUCKET), "buckets")
+    dealt = classes.filter("n > 0").select("h", "bits", "blocks").mapInArrow(lambda batches: _deal(batches, width, count), _DEALT)
+    shards = dealt.repartition("key").sortWithinPartitions("key")
+    near = kept_table(shards.mapInArrow(lambda batches: _near(_shared(batches), radius), "key long, h long"), "near")
+    buckets = kept_table(near.join(classes.select("h", "n", "bits"), "h").select("key", "h", "n", "bits"), "buckets")
 
     def pairs(rows: DataFrame, rule: Callable) -> DataFrame:
         rows = rows.select("key", "h", "n", "bits", "comp", "side").repartition("key").sortWithinPartitions("key", "side", "h")
@@ -248,15 +357,17 @@ def _meetings(known: DataFrame) -> DataFrame:
     return dealt.withColumns({"key": F.xxhash64("key", "seat.i", "seat.j"), "side": F.col("seat.side")})
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each group of near copies, groups being the components of all pairs at 0.8 or more.
 
     The survivor has the smallest doc_id, a null one last, and of these the smallest text hash.
     Blank and null texts are one group. Columns as given.
     """
+    width, count = blocks(docs.count())
     texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    rows = kept_table(rows.mapInArrow(_sketches, "doc_id long, text_hash long, h long, n long, bits binary, keys binary"), "sketches")
-    classes = kept_table(rows.select("h", "text_hash", "n", "bits", "keys").dropDuplicates(["h"]), "classes")
-    comp = components(links(classes, texts))
+    sketch = rows.mapInArrow(lambda batches: _sketches(batches, width, count), "doc_id long, text_hash long, h long, n long, bits binary, blocks binary")
+    rows = kept_table(sketch, "sketches")
+    classes = kept_table(rows.select("h", "text_hash", "n", "bits", "blocks").dropDuplicates(["h"]), "classes")
+    comp = components(links(classes, texts, width, count, radius=radius))
     return one_per_group(docs, rows.select("doc_id", "text_hash", "h"), comp)
